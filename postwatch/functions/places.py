@@ -8,7 +8,6 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postwatch.functions.text import normalize
 from postwatch.plans import defaults
 
 
@@ -16,8 +15,8 @@ def contains_any(col: Column, needles: list[str]) -> Column:
     return reduce(or_, [col.contains(n) for n in needles], F.lit(False))
 
 
-def score_location(
-    location: Column,
+def location_score(
+    place: Column,
     remote_pct: Column,
     source: Column,
     rings: list[tuple[int, list[str]]] = defaults.LOCATION_RINGS,
@@ -28,8 +27,8 @@ def score_location(
     """0-100, first rule that holds: full remote, gazetteer rings, home department, a postcode
     elsewhere, partly remote, a source that filters by place itself, unknown.
 
-    Places are found as substrings, with spaces read as hyphens."""
-    place = F.coalesce(normalize(location), F.lit(""))
+    place: a column that holds the normalized location ('' for none), not the expression, which
+    each branch would evaluate again.  Places are found as substrings, spaces read as hyphens."""
     hyphened = F.replace(place, F.lit(" "), F.lit("-"))
     postcode = F.regexp_extract(place, r"(?U)\b(\d{5})\b", 1)
     score = F.when(remote_pct == 100, 100)
@@ -98,12 +97,13 @@ def in_zone(
 
 def place_from_text(
     text: Column,
+    low: Column,
     cities: list[str] = defaults.ZONE_CITIES,
     department_name: str = "Loire-Atlantique",
 ) -> Column:
     """First zone city of the list that the text names, else the department, else the first
-    postcode in front of a capitalised word, else ''."""
-    low = F.lower(text)
+    postcode in front of a capitalised word, else ''.  low: a column with the lower-cased text,
+    which every branch looks at."""
     found = F.coalesce(*[F.when(low.contains(c), F.lit(c.title())) for c in cities])
     named = department_name.lower()
     return F.coalesce(

@@ -31,8 +31,8 @@ def _anchor(col: Column) -> Column:
 def _word_match(needle: Column, text: Column) -> Column:
     """needle occurs in text with no ASCII letter or digit on either side."""
     quoted = F.regexp_replace(needle, r"([^\p{IsAlphabetic}0-9 ])", r"\\$1")
-    return text.contains(needle) & text.rlike(
-        F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])"))
+    return text.contains(needle) & F.regexp_like(
+        text, F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])"))
     )
 
 

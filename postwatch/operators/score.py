@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from postwatch.functions.labels import match_reason
 from postwatch.functions.numbers import round_exact
-from postwatch.functions.places import score_location
+from postwatch.functions.places import location_score
+from postwatch.functions.text import normalize
 from postwatch.operators.filters import passes_threshold
 from postwatch.operators.lexicon import lexicon_score
 from postwatch.operators.match import match_employer, match_titles, tier_score
@@ -25,6 +26,13 @@ def blend(weights: dict[str, float] = defaults.WEIGHTS) -> Column:
     return round_exact(reduce(add, terms), 1)
 
 
+def score_location(df: DataFrame, **params) -> DataFrame:
+    """Add location_score from location, remote_pct and source."""
+    placed = df.withColumn("_place", F.coalesce(normalize(F.col("location")), F.lit("")))
+    score = location_score(F.col("_place"), F.col("remote_pct"), F.col("source"), **params)
+    return placed.withColumn("location_score", score).drop("_place")
+
+
 def score_postings(
     df: DataFrame,
     employers: DataFrame,
@@ -39,13 +47,9 @@ def score_postings(
     The vocabulary and place scores are a projection on the scan side; only the employer and the
     fuzzy title lookups shuffle, and they work on distinct values."""
     text = F.concat(F.col("title"), F.lit("\n"), F.coalesce("description", F.lit("")))
-    scored = df.withColumns({
-        "hard_skills": lexicon_score(text, hard),
-        "soft_skills": lexicon_score(text, soft),
-        "location_score": score_location(
-            F.col("location"), F.col("remote_pct"), F.col("source"), **location_params
-        ),
-    })
+    scored = score_location(df, **location_params).withColumns(
+        {"hard_skills": lexicon_score(text, hard), "soft_skills": lexicon_score(text, soft)}
+    )
     scored = match_titles(match_employer(scored, employers), targets)
     scored = scored.withColumn("tier_score", tier_score(F.col("employer_tier")))
     return scored.withColumns({

@@ -7,17 +7,15 @@ import datetime as dt
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postwatch.operators.skew import HOT_ROWS, salted_join
-from postwatch.schema import SEEN, SEEN_ATTRIBUTES
+from postwatch.schema import SEEN, SEEN_ATTRIBUTES, names
 
 # One shape for a run's sightings and for the folded state, so folding is associative: runs can
 # be combined on the map side, compacted and replayed in any grouping.
-SIGHTINGS = T.StructType.fromDDL(
-    """fingerprint STRING, first_run BIGINT, first_seq BIGINT, first_seen DATE,
-       last_run BIGINT, last_seen DATE, source STRING, url STRING, title STRING, company STRING"""
-)
+SIGHTINGS = """
+    fingerprint STRING, first_run BIGINT, first_seq BIGINT, first_seen DATE,
+    last_run BIGINT, last_seen DATE, source STRING, url STRING, title STRING, company STRING"""
 
 
 def flag_known(batch: DataFrame, seen: DataFrame, spread_by: str = "ingest_seq",
@@ -67,13 +65,13 @@ def fold_sightings(df: DataFrame, latest_date: bool = False) -> DataFrame:
         df.groupBy("fingerprint")
         .agg(first, F.max("last_run").alias("last_run"), last_seen.alias("last_seen"))
         .select("fingerprint", "first.*", "last_run", "last_seen")
-        .select(SIGHTINGS.fieldNames())
+        .select(names(SIGHTINGS))
     )
 
 
 def as_seen(folded: DataFrame) -> DataFrame:
     """The public columns of the state."""
-    return folded.select(SEEN.fieldNames())
+    return folded.select(names(SEEN))
 
 
 def merge_seen(state: DataFrame, batch: DataFrame, run_seq: int, run_date: dt.date,
@@ -114,10 +112,9 @@ class SeenLog:
         base = self._read("commits", "upto bigint")
         upto = base.filter(F.col("upto") < before).agg(F.max("upto")).first()[0]
         low = -1 if upto is None else upto
-        log = self._read("log", SIGHTINGS.simpleString()[7:-1].replace(":", " ")
-                         + ", run_seq bigint, part string")
+        log = self._read("log", SIGHTINGS + ", run_seq BIGINT, part STRING")
         log = log.filter((F.col("run_seq") > low) & (F.col("run_seq") < before))
-        rows = log.select(SIGHTINGS.fieldNames())
+        rows = log.select(names(SIGHTINGS))
         if upto is None:
             return rows
         state = self.spark.read.schema(SIGHTINGS).parquet(f"{self.root}/state/upto={upto}")

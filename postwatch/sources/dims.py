@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postwatch.functions.text import normalize_py
 from postwatch.plans import defaults
-from postwatch.schema import EMPLOYERS
+from postwatch.schema import EMPLOYERS, names
 
 
 def _read_yaml(path: str | Path) -> dict:
@@ -25,7 +25,7 @@ def load_employers(spark: SparkSession, path: str | Path) -> DataFrame:
     """employers: [{name, tier, sector, careers_url, aliases, ats, link_pattern}].  ord is the
     position in the file and decides between several matches.  No or bad file: no rows."""
     entries = _read_yaml(path).get("employers") or []
-    fields = EMPLOYERS.fieldNames()[1:]
+    fields = names(EMPLOYERS)[1:]
     rows = [
         (i, *[e.get(f, [] if f == "aliases" else None) for f in fields])
         for i, e in enumerate(entries)

@@ -294,13 +294,15 @@ def job_ad_text(payloads: DataFrame, body: str = "body",
 def enrich_descriptions(postings: DataFrame, texts: DataFrame) -> DataFrame:
     """Description := page text of the posting's url, and a blank location := the place that text
     names.  Postings without a page keep what they have.  texts: one row per url."""
-    found = postings.join(texts.select("url", "page_text"), "url", "left")
+    found = postings.join(texts.select("url", "page_text"), "url", "left").withColumn(
+        "_low", F.lower("page_text")
+    )
     described = F.coalesce("page_text", "description")
     blank = (F.col("location") == "") & F.col("page_text").isNotNull()
     return (
         found.withColumn(
             "location",
-            F.when(blank, place_from_text(F.col("page_text"))).otherwise(F.col("location")),
+            F.when(blank, place_from_text(F.col("page_text"), F.col("_low"))).otherwise(F.col("location")),
         )
         .withColumn("description", described)
         .select(postings.columns)

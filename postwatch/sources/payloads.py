@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postwatch import schema
 from postwatch.functions import dates, labels, numbers, places
@@ -42,7 +41,7 @@ def keep_raw(item: Column, drop: tuple[str, ...] = ()) -> Column:
     return F.to_json(item.dropFields(*drop) if drop else item)
 
 
-def parse_pages(pages: DataFrame, page_schema: T.DataType, items: str | None) -> DataFrame:
+def parse_pages(pages: DataFrame, page_schema: str, items: str | None) -> DataFrame:
     """One row per item of the page's array, in arrival order (ingest_seq)."""
     parsed = pages.withColumn("_page", F.from_json("body", page_schema)).drop("body")
     array = F.col("_page") if items is None else F.col("_page")[items]
@@ -65,7 +64,10 @@ def _postings(df: DataFrame, reject: Column, **columns: Column) -> DataFrame:
         **columns,
         "ingest_seq": F.col("ingest_seq"),
     }
-    typed = [values[f.name].cast(f.dataType).alias(f.name) for f in schema.POSTINGS]
+    typed = [
+        values[name].cast(kind).alias(name)
+        for name, kind in (field.split() for field in schema.POSTINGS.split(","))
+    ]
     return df.select(*typed, reject.alias("reject"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postwatch.functions import dates, labels, numbers, places, text
 from postwatch.operators.filters import is_excluded_contract
+from postwatch.operators.score import score_location
 
 
 @pytest.mark.parametrize("raw, want", [
@@ -128,9 +129,10 @@ def test_dates(col):
     ("Blainville", None, "jobspy_indeed", 75),
     (None, None, "jobspy_indeed", 50),
 ])
-def test_location(col, location, remote, source, want):
-    expr = places.score_location(F.col("l"), F.col("r"), F.col("s"))
-    assert col("l string, r int, s string", [(location, remote, source)], expr) == [want]
+def test_location(spark, location, remote, source, want):
+    ddl = "location string, remote_pct int, source string"
+    df = spark.createDataFrame([(location, remote, source)], ddl)
+    assert [r.location_score for r in score_location(df).collect()] == [want]
 
 
 @pytest.mark.parametrize("located, lat, lon, place, want", [
@@ -156,7 +158,7 @@ def test_distance(col):
 def test_place_from_text(col):
     rows = [("poste à Rezé",), ("en Loire-Atlantique",), ("35000 Rennes",),
             ("35000 collaborateurs",), ("SAINT-HERBLAIN ou Nantes",)]
-    assert col("s string", rows, places.place_from_text(F.col("s"))) == [
+    assert col("s string", rows, places.place_from_text(F.col("s"), F.lower("s"))) == [
         "Rezé", "Loire-Atlantique", "35000", "", "Nantes"]
 
 
