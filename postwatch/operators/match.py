@@ -46,28 +46,34 @@ def employer_needles(employers: DataFrame) -> DataFrame:
     )
 
 
-def employer_lookup(companies: DataFrame, employers: DataFrame,
-                    min_hot_rows: int = HOT_ROWS) -> DataFrame:
+def employer_lookup(companies: DataFrame, employers: DataFrame, salts: int = 8) -> DataFrame:
     """(company_norm, employer, employer_tier) for the normalized companies that match.
 
     A company matches an employer when one of the employer's names stands in it at word
     boundaries, or the other way round; the lowest ord wins.  Instead of comparing all pairs,
-    both sides meet on a token (the anchor of the shorter name is a token of the longer one) and
-    only those pairs are verified."""
+    both sides meet on a token: the anchor of the shorter name is a token of the longer one.
+    Only those pairs are verified.  Companies are spread over `salts` parts, as one word may be
+    part of very many names."""
+    company, needle = F.col("company_norm"), F.col("needle")
     companies = companies.select("company_norm").filter("company_norm != ''").distinct()
     needles = employer_needles(employers)
-    ids = F.xxhash64("company_norm")
-    inside = salted_join(
-        companies.select("company_norm", F.explode(_tokens(F.col("company_norm"))).alias("_t")),
-        needles.withColumn("_t", _anchor(F.col("needle"))),
-        ["_t"], "inner", ids, min_hot_rows,
-    ).filter(_word_match(F.col("needle"), F.col("company_norm")))
-    around = salted_join(
-        companies.select("company_norm", _anchor(F.col("company_norm")).alias("_t")),
-        needles.withColumn("_t", F.explode(_tokens(F.col("needle")))),
-        ["_t"], "inner", ids, min_hot_rows,
-    ).filter(_word_match(F.col("company_norm"), F.col("needle")))
-    pairs = inside.unionByName(around).select("company_norm", "ord", "name", "tier")
+
+    def keyed(df: DataFrame, name: Column, inner: str) -> DataFrame:
+        """Rows (inner, _t): as the shorter name by anchor, as the longer one by every token."""
+        short = F.struct(F.lit(inner).alias("_short"), _anchor(name).alias("_t"))
+        other = "needle" if inner == "company" else "company"
+        long = F.transform(
+            _tokens(name), lambda t: F.struct(F.lit(other).alias("_short"), t.alias("_t"))
+        )
+        return df.select("*", F.inline(F.array_append(long, short)))
+
+    pairs = salted_join(
+        keyed(companies, company, "company"), keyed(needles, needle, "needle"),
+        ["_short", "_t"], "inner", company, min_rows=None, salts=salts,
+    ).filter(
+        F.when(F.col("_short") == "needle", _word_match(needle, company))
+        .otherwise(_word_match(company, needle))
+    )
     first = F.min(F.struct("ord", "name", "tier")).alias("m")
     return pairs.groupBy("company_norm").agg(first).select(
         "company_norm", F.col("m.name").alias("employer"), F.col("m.tier").alias("employer_tier")
@@ -79,7 +85,7 @@ def match_employer(df: DataFrame, employers: DataFrame, company: str = "company"
     """Add employer and employer_tier (null when off the list).  Matching runs once per distinct
     company; one company may have most of the postings, so the way back is salted."""
     named = df.withColumn("company_norm", normalize(F.col(company)))
-    found = employer_lookup(named, employers, min_hot_rows)
+    found = employer_lookup(named, employers)
     return salted_join(
         named, found, ["company_norm"], "left", F.col(spread_by), min_hot_rows
     ).drop("company_norm")

@@ -24,28 +24,39 @@ def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFr
     )
 
 
+def _salt(spread_by: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+
+
+def _all_salts(salts: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(salts - 1))
+
+
 def salted_join(
     facts: DataFrame,
     other: DataFrame,
     keys: list[str],
     how: str,
     spread_by: Column,
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """facts join other on keys, with the hot keys of facts spread over `salts` partitions and
     only the matching rows of `other` copied for them.  Same result as a plain equi-join.
 
     how: inner, left, left_semi or left_anti.  spread_by: an expression over facts that varies
-    within a key.  Works without any session setting, so it does not depend on AQE."""
+    within a key.  min_rows=None spreads every key without looking for hot ones: for an `other`
+    that is a parameter table, cheap to copy `salts` times.  Works without any session setting,
+    so it does not depend on AQE."""
+    if min_rows is None:
+        salted = facts.withColumn("_salt", _salt(spread_by, salts))
+        spread = other.withColumn("_salt", F.explode(_all_salts(salts)))
+        return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
     # One broadcast serves both sides: at most MAX_HOT_KEYS rows.
     hot = F.broadcast(hot_keys(facts, keys, min_rows))
     salted = facts.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0)
-        .cast("int"),
+        "_salt", F.when(F.col("_hot"), _salt(spread_by, salts)).otherwise(0)
     ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
+    copies = F.when(F.col("_hot"), _all_salts(salts)).otherwise(F.array(F.lit(0)))
     spread = other.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")

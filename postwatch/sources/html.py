@@ -13,10 +13,12 @@ from urllib.parse import quote, urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-NODES_DDL = (
-    "parent array<int>, last array<int>, tag array<string>, href array<string>, "
-    "url array<string>, text array<string>"
+_INTS, _STRINGS = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
+NODES = (
+    T.StructType().add("parent", _INTS).add("last", _INTS).add("tag", _STRINGS)
+    .add("href", _STRINGS).add("url", _STRINGS).add("text", _STRINGS)
 )
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
          "track", "wbr"}
@@ -79,7 +81,7 @@ def resolve(base: str, href: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf(NODES_DDL)
+@F.pandas_udf(NODES)
 def _nodes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for urls, pages in batches:
         rows = []
@@ -91,7 +93,7 @@ def _nodes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
                 resolve(base or "", h) if t == "a" else None for h, t in zip(flat.href, flat.tag)
             ]
             rows.append((flat.parent, flat.last, flat.tag, flat.href, links, flat.text))
-        yield pd.DataFrame(rows, columns=["parent", "last", "tag", "href", "url", "text"])
+        yield pd.DataFrame(rows, columns=NODES.names)
 
 
 def html_nodes(url: Column, html: Column) -> Column:

@@ -198,9 +198,9 @@ def harvest_containers(flat: DataFrame, marker: str, location: str,
     cards = (
         flat.withColumn("cards", F.expr(card))
         .withColumn("cards", F.expr(f"filter(cards, c -> {fits})".replace(":marker", f"'{quoted}'")))
-        .withColumn("cards", F.expr(f"transform(cards, c -> struct(c.*, {holder} as at))"))
+        .withColumn("cards", F.expr(f"transform(cards, c -> struct(c.pos, c.block, {holder} as at))"))
         .withColumn("cards", F.expr(
-            f"transform(filter(cards, c -> c.at is not null), c -> struct(c.*, {link} as j))"))
+            f"transform(filter(cards, c -> c.at is not null), c -> struct(c.pos, c.block, c.at, {link} as j))"))
         .withColumn("cards", F.expr(f"""
             transform(cards, c -> struct(
               c.pos, c.block, n.url[c.j] as link_url, {sql_text('c.j', '')} as link_text,
