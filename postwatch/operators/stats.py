@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,16 @@ def funnel(flagged: DataFrame) -> DataFrame:
     )
 
 
+def count_rows(df: DataFrame, name: str) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias(name))
+
+
+def merge_rows(*rows: DataFrame) -> DataFrame:
+    """One-row tables with different columns side by side, by union instead of a join."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
+
+
 def enrichment_rate(candidates: DataFrame, description: str = "description") -> DataFrame:
     return candidates.agg(
         F.count(description).alias("enriched"), F.count(F.lit(1)).alias("candidates")
@@ -96,6 +108,6 @@ def daily_report(totals: DataFrame, retained: DataFrame, k: int = 3) -> DataFram
         .select(F.struct(-F.col("score"), F.col("ingest_seq"), line.alias("line")).alias("r"))
         .agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]).alias("top"))
     )
-    return totals.join(F.broadcast(best)).withColumn(  # one row by one row
+    return merge_rows(totals, best).withColumn(
         "others", F.greatest(F.lit(0), F.col("retained") - k)
     )

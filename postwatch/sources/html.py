@@ -33,6 +33,7 @@ class _Flattener(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parent, self.last, self.tag = [-1], [0], ["#document"]
         self.href, self.text, self.open = [None], [None], [0]
+        self.pending: list[str] = []  # a text may arrive in pieces
 
     def _add(self, tag: str, href: str | None, text: str | None) -> None:
         self.parent.append(self.open[-1])
@@ -41,11 +42,17 @@ class _Flattener(HTMLParser):
         self.href.append(href)
         self.text.append(text)
 
+    def _flush(self) -> None:
+        if text := "".join(self.pending).strip():
+            self._add("#text", None, text)
+        self.pending.clear()
+
     def _close_to(self, depth: int) -> None:
         while len(self.open) > depth:
             self.last[self.open.pop()] = len(self.tag) - 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._flush()
         if tag in _SELF_CLOSING and self.tag[self.open[-1]] == tag:
             self._close_to(len(self.open) - 1)
         self._add(tag, dict(attrs).get("href"), None)
@@ -56,17 +63,21 @@ class _Flattener(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        self._flush()
         for depth in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[depth]] == tag:
                 self._close_to(depth)
                 return
 
     def handle_data(self, data: str) -> None:
-        if stripped := data.strip():
-            self._add("#text", None, stripped)
+        self.pending.append(data)
+
+    def handle_comment(self, data: str) -> None:
+        self._flush()
 
     def close(self) -> None:
         super().close()
+        self._flush()
         self._close_to(0)
 
 
