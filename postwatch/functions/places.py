@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +9,11 @@ from postwatch.plans import defaults
 
 
 def contains_any(col: Column, needles: list[str]) -> Column:
-    return reduce(or_, [col.contains(n) for n in needles], F.lit(False))
+    """The text contains one of the needles.  One regex, so that the expression behind col stands
+    in the plan once, also when the optimizer moves the condition into a filter."""
+    if not needles:
+        return F.lit(False)
+    return col.rlike("|".join(rf"\Q{n}\E" for n in needles))
 
 
 def location_score(

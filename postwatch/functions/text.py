@@ -46,17 +46,16 @@ def fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(single) + "".join(deleted), "".join(single.values()), several
 
 
-def _char_class(chars: list[str]) -> str:
-    """Regex class body of the characters, as ranges."""
-    codes, ranges = sorted(map(ord, chars)), []
-    for code in codes:
-        if ranges and code == ranges[-1][1] + 1:
+def _char_class(chars: list[str], gap: int = 64) -> str:
+    """Regex class body that covers the characters.  Ranges closer than `gap` are joined: a short
+    class keeps plans small, and a character caught needlessly is only looked up in vain."""
+    ranges = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code - ranges[-1][1] <= gap:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return "".join(
-        f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges
-    )
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
 
 def _expand(folded: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def row_cap(
 
 def greedy_or_dedup(
     df: DataFrame, key1: str, key2: list[str], order: str = "ingest_seq",
-    min_hot_rows: int = HOT_ROWS,
+    min_hot_rows: float = HOT_ROWS,
 ) -> DataFrame:
     """Rows that a sequential pass by `order` would accept when it takes a row only if neither
     its key1 nor its key2 was accepted before.
@@ -66,17 +68,19 @@ def greedy_or_dedup(
         df.groupBy(*keys).agg(F.min(order).alias(order)), "greedy-open"
     )
     accepted = None
-    while not open_rows.isEmpty():
+    # A table shorter than min_hot_rows has no hot keys; counts come from the file footers.
+    while n := open_rows.count():
+        limit = min_hot_rows if n >= min_hot_rows else math.inf
         first1 = open_rows.groupBy(key1).agg(F.min(order).alias(order))
         first2 = open_rows.groupBy(*key2).agg(F.min(order).alias(order))
         # Joined on the unique order, so hot keys do not matter here.
         winners = materialize(first1.join(first2, order), "greedy-won")
         accepted = winners if accepted is None else accepted.unionByName(winners)
         rest = salted_join(
-            open_rows, winners.select(key1), [key1], "left_anti", F.col(order), min_hot_rows
+            open_rows, winners.select(key1), [key1], "left_anti", F.col(order), limit
         )
         rest = salted_join(
-            rest, winners.select(*key2), key2, "left_anti", F.col(order), min_hot_rows
+            rest, winners.select(*key2), key2, "left_anti", F.col(order), limit
         )
         open_rows = materialize(rest.select(*keys, order), "greedy-open")
     if accepted is None:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions.labels import logical_source
-from postwatch.functions.places import in_radius, in_zone
+from postwatch.functions.places import contains_any, in_radius, in_zone
 from postwatch.functions.text import strip
 from postwatch.plans import defaults
 
@@ -66,7 +66,7 @@ def search_filter(df: DataFrame, keywords: list[str] = (), columns: tuple[str, .
     for column, values in (isin or {}).items():
         df = df.filter(F.col(column).isin(values))
     if keywords:
-        hits = [F.lower(F.col(c)).contains(k.lower()) for c in columns for k in keywords]
+        hits = [contains_any(F.lower(c), [k.lower() for k in keywords]) for c in columns]
         df = df.filter(reduce(or_, hits))
     return df
 

@@ -41,8 +41,7 @@ def employer_needles(employers: DataFrame) -> DataFrame:
     names = F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
     return (
         employers.select("ord", "name", "tier", F.explode(names).alias("_raw"))
-        .select("ord", "name", "tier", normalize(F.col("_raw")).alias("needle"))
-        .filter("needle != ''").distinct()
+        .select("ord", "name", "tier", normalize(F.col("_raw")).alias("needle")).distinct()
     )
 
 
@@ -55,7 +54,7 @@ def employer_lookup(companies: DataFrame, employers: DataFrame, salts: int = 8)
     Only those pairs are verified.  Companies are spread over `salts` parts, as one word may be
     part of very many names."""
     company, needle = F.col("company_norm"), F.col("needle")
-    companies = companies.select("company_norm").filter("company_norm != ''").distinct()
+    companies = companies.select("company_norm").distinct()  # '' has no token: no match
     needles = employer_needles(employers)
 
     def keyed(df: DataFrame, name: Column, inner: str) -> DataFrame:
@@ -81,7 +80,7 @@ def employer_lookup(companies: DataFrame, employers: DataFrame, salts: int = 8)
 
 
 def match_employer(df: DataFrame, employers: DataFrame, company: str = "company",
-                   spread_by: str = "ingest_seq", min_hot_rows: int = HOT_ROWS) -> DataFrame:
+                   spread_by: str = "ingest_seq", min_hot_rows: float = HOT_ROWS) -> DataFrame:
     """Add employer and employer_tier (null when off the list).  Matching runs once per distinct
     company; one company may have most of the postings, so the way back is salted."""
     named = df.withColumn("company_norm", normalize(F.col(company)))
@@ -138,7 +137,7 @@ def title_lookup(titles: DataFrame, targets: list[str]) -> DataFrame:
 
 
 def match_titles(df: DataFrame, targets: list[str], title: str = "title",
-                 spread_by: str = "ingest_seq", min_hot_rows: int = HOT_ROWS) -> DataFrame:
+                 spread_by: str = "ingest_seq", min_hot_rows: float = HOT_ROWS) -> DataFrame:
     """Add title_match.  Titles that contain a target are settled in place; the others are
     looked up once per distinct title."""
     wanted = clean_targets(targets)

@@ -63,7 +63,7 @@ def pair_columns(company: Column, title: Column) -> dict[str, Column]:
 
 
 def not_yet_published(retained: DataFrame, offers: DataFrame, spread_by: str = "ingest_seq",
-                      min_hot_rows: int = HOT_ROWS) -> DataFrame:
+                      min_hot_rows: float = HOT_ROWS) -> DataFrame:
     """Postings with neither their url nor their (employer, title) pair in the offers table.
     Two anti joins: a single OR condition would compare all pairs."""
     pairs = offers.select(
@@ -79,7 +79,7 @@ def not_yet_published(retained: DataFrame, offers: DataFrame, spread_by: str = "
 
 
 def select_offers(retained: DataFrame, offers: DataFrame,
-                  min_hot_rows: int = HOT_ROWS) -> DataFrame:
+                  min_hot_rows: float = HOT_ROWS) -> DataFrame:
     """Postings to publish, best first wins: not in the table yet, nor twice in the batch.
     Runs jobs (greedy rounds)."""
     fresh = not_yet_published(retained, offers, min_hot_rows=min_hot_rows)
@@ -107,10 +107,11 @@ class OfferTable:
             rows = self.spark.createDataFrame([], ddl)
         return rows.filter(F.col("run_seq") < before)
 
-    def append(self, retained: DataFrame, run_seq: int, run_date: dt.date) -> DataFrame:
+    def append(self, retained: DataFrame, run_seq: int, run_date: dt.date,
+               min_hot_rows: float = HOT_ROWS) -> DataFrame:
         """Publish what earlier runs did not; a retry of the run sees the same earlier runs and
         replaces its own folder.  Returns the rows of this run as written."""
-        chosen = select_offers(retained, self.read(before=run_seq))
+        chosen = select_offers(retained, self.read(before=run_seq), min_hot_rows)
         offer_rows(chosen, run_date).write.mode("overwrite").parquet(
             f"{self.root}/run_seq={run_seq}"
         )
@@ -123,7 +124,7 @@ def touched_employers(retained: DataFrame) -> DataFrame:
 
 
 def update_employer_status(tracker: DataFrame, touched: DataFrame, employers: DataFrame,
-                           run_date: dt.date, min_hot_rows: int = HOT_ROWS) -> DataFrame:
+                           run_date: dt.date, min_hot_rows: float = HOT_ROWS) -> DataFrame:
     """Tracker (row_id, employer, status, last_action, next_action) with the touched employers'
     blank or first status moved on, and a column changed.  Later statuses stay as they are."""
     matched = match_employer(

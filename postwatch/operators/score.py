@@ -15,6 +15,7 @@ from postwatch.functions.text import normalize
 from postwatch.operators.filters import passes_threshold
 from postwatch.operators.lexicon import lexicon_score
 from postwatch.operators.match import match_employer, match_titles, tier_score
+from postwatch.operators.skew import HOT_ROWS
 from postwatch.plans import defaults
 
 
@@ -40,6 +41,7 @@ def score_postings(
     hard: dict[str, int] = defaults.HARD_SKILLS,
     soft: dict[str, int] = defaults.SOFT_SKILLS,
     weights: dict[str, float] = defaults.WEIGHTS,
+    min_hot_rows: float = HOT_ROWS,
     **location_params,
 ) -> DataFrame:
     """Add the five sub-scores, score, employer, employer_tier and match_reason.
@@ -50,7 +52,8 @@ def score_postings(
     scored = score_location(df, **location_params).withColumns(
         {"hard_skills": lexicon_score(text, hard), "soft_skills": lexicon_score(text, soft)}
     )
-    scored = match_titles(match_employer(scored, employers), targets)
+    scored = match_employer(scored, employers, min_hot_rows=min_hot_rows)
+    scored = match_titles(scored, targets, min_hot_rows=min_hot_rows)
     scored = scored.withColumn("tier_score", tier_score(F.col("employer_tier")))
     return scored.withColumns({
         "score": blend(weights),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ HOT_ROWS = 100_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], min_rows: float = HOT_ROWS) -> DataFrame:
     """The most frequent keys, at most MAX_HOT_KEYS of them, each with at least min_rows rows.
 
     No key left out can hold more than 1/MAX_HOT_KEYS of the table, so the list bounds the skew
@@ -24,6 +26,12 @@ def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFr
     )
 
 
+def hot_limit(df: DataFrame) -> float:
+    """min_rows for joins of df and what is derived from it row by row.  A table with fewer than
+    HOT_ROWS rows has no hot keys, so nobody needs to look for them.  Runs a count."""
+    return HOT_ROWS if df.count() >= HOT_ROWS else math.inf
+
+
 def _salt(spread_by: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
 
@@ -38,7 +46,7 @@ def salted_join(
     keys: list[str],
     how: str,
     spread_by: Column,
-    min_rows: int | None = HOT_ROWS,
+    min_rows: float | None = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """facts join other on keys, with the hot keys of facts spread over `salts` partitions and
@@ -46,8 +54,10 @@ def salted_join(
 
     how: inner, left, left_semi or left_anti.  spread_by: an expression over facts that varies
     within a key.  min_rows=None spreads every key without looking for hot ones: for an `other`
-    that is a parameter table, cheap to copy `salts` times.  Works without any session setting,
-    so it does not depend on AQE."""
+    that is a parameter table, cheap to copy `salts` times; infinite: facts is known to be
+    small.  Works without any session setting, so it does not depend on AQE."""
+    if min_rows == math.inf:
+        return facts.join(other, keys, how)
     if min_rows is None:
         salted = facts.withColumn("_salt", _salt(spread_by, salts))
         spread = other.withColumn("_salt", F.explode(_all_salts(salts)))

@@ -19,7 +19,7 @@ SIGHTINGS = """
 
 
 def flag_known(batch: DataFrame, seen: DataFrame, spread_by: str = "ingest_seq",
-               min_hot_rows: int = HOT_ROWS) -> DataFrame:
+               min_hot_rows: float = HOT_ROWS) -> DataFrame:
     """Add is_known: the fingerprint is in seen, as seen stood before this batch.  Two postings
     of one batch with the same fingerprint are therefore both new."""
     known = seen.select("fingerprint").distinct().withColumn("is_known", F.lit(True))
@@ -29,7 +29,7 @@ def flag_known(batch: DataFrame, seen: DataFrame, spread_by: str = "ingest_seq",
 
 
 def split_new_known(batch: DataFrame, seen: DataFrame, spread_by: str = "ingest_seq",
-                    min_hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+                    min_hot_rows: float = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(new, known) postings: left anti and left semi join on the fingerprint."""
     keys = seen.select("fingerprint").distinct()
     return tuple(
