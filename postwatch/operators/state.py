@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postwatch.operators.skew import HOT_ROWS, salted_join
@@ -82,6 +82,20 @@ def merge_seen(state: DataFrame, batch: DataFrame, run_seq: int, run_date: dt.da
     return fold_sightings(state.unionByName(rows), latest_date)
 
 
+def new_known_by_run(batches: DataFrame, run: str = "run_date") -> DataFrame:
+    """Per run: postings collected, new (fingerprint in no earlier run) and already seen.
+
+    Aggregated to (run, fingerprint) first, so a fingerprint has one row per run in the window."""
+    per_run = batches.groupBy(run, "fingerprint").agg(F.count(F.lit(1)).alias("_n"))
+    first_run = F.min(run).over(Window.partitionBy("fingerprint"))
+    new = F.when(F.col(run) == first_run, F.col("_n")).otherwise(0)
+    return (
+        per_run.withColumn("_new", new).groupBy(run)
+        .agg(F.sum("_n").alias("collected"), F.sum("_new").alias("new"))
+        .withColumn("already_seen", F.col("collected") - F.col("new"))
+    )
+
+
 class SeenLog:
     """Seen state on a shared file system, with no table format that can MERGE.
 
