@@ -136,17 +136,21 @@ def title_lookup(titles: DataFrame, targets: list[str]) -> DataFrame:
     return exact.unionByName(fuzzy)
 
 
+def fuzzy_lookup(named: DataFrame, targets: list[str]) -> DataFrame:
+    """(title_norm, fuzzy) per distinct title_norm that contains no target."""
+    wanted = clean_targets(targets)
+    misses = named.select("title_norm").filter(~contains_any(F.col("title_norm"), wanted))
+    return misses.distinct().withColumn("fuzzy", best_ratio(wanted)("title_norm"))
+
+
 def match_titles(df: DataFrame, targets: list[str], title: str = "title",
                  spread_by: str = "ingest_seq", min_hot_rows: float = HOT_ROWS) -> DataFrame:
-    """Add title_match.  Titles that contain a target are settled in place; the others are
-    looked up once per distinct title."""
-    wanted = clean_targets(targets)
+    """Add title_match.  Only titles without a target are looked up, once per distinct title;
+    the others find nothing there and get 100."""
     named = df.withColumn("title_norm", normalize(F.col(title)))
-    hit = contains_any(F.col("title_norm"), wanted)
-    misses = named.select("title_norm").filter(~hit)
-    fuzzy = misses.distinct().withColumn("_fuzzy", best_ratio(wanted)("title_norm"))
     return (
-        salted_join(named, fuzzy, ["title_norm"], "left", F.col(spread_by), min_hot_rows)
-        .withColumn("title_match", F.coalesce("_fuzzy", F.lit(100.0)))
-        .drop("_fuzzy", "title_norm")
+        salted_join(named, fuzzy_lookup(named, targets), ["title_norm"], "left",
+                    F.col(spread_by), min_hot_rows)
+        .withColumn("title_match", F.coalesce("fuzzy", F.lit(100.0)))
+        .drop("fuzzy", "title_norm")
     )

@@ -73,8 +73,9 @@ def not_yet_published(retained: DataFrame, offers: DataFrame, spread_by: str = "
     spread = F.col(spread_by)
     fresh = salted_join(retained, urls, ["url"], "left_anti", spread, min_hot_rows)
     fresh = fresh.withColumns(pair_columns(fresh.company, fresh.title))
+    named = retained.withColumns(pair_columns(retained.company, retained.title))
     return salted_join(
-        fresh, pairs, ["_employer", "_title"], "left_anti", spread, min_hot_rows
+        fresh, pairs, ["_employer", "_title"], "left_anti", spread, min_hot_rows, count_in=named
     ).select(retained.columns)
 
 

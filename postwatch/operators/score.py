@@ -14,8 +14,8 @@ from postwatch.functions.places import location_score
 from postwatch.functions.text import normalize
 from postwatch.operators.filters import passes_threshold
 from postwatch.operators.lexicon import lexicon_score
-from postwatch.operators.match import match_employer, match_titles, tier_score
-from postwatch.operators.skew import HOT_ROWS
+from postwatch.operators.match import employer_lookup, fuzzy_lookup, tier_score
+from postwatch.operators.skew import HOT_ROWS, salted_join
 from postwatch.plans import defaults
 
 
@@ -49,12 +49,26 @@ def score_postings(
     The vocabulary and place scores are a projection on the scan side; only the employer and the
     fuzzy title lookups shuffle, and they work on distinct values."""
     text = F.concat(F.col("title"), F.lit("\n"), F.coalesce("description", F.lit("")))
-    scored = score_location(df, **location_params).withColumns(
+    named = df.withColumns({
+        "company_norm": normalize(F.col("company")), "title_norm": normalize(F.col("title"))
+    })
+    scored = score_location(named, **location_params).withColumns(
         {"hard_skills": lexicon_score(text, hard), "soft_skills": lexicon_score(text, soft)}
     )
-    scored = match_employer(scored, employers, min_hot_rows=min_hot_rows)
-    scored = match_titles(scored, targets, min_hot_rows=min_hot_rows)
-    scored = scored.withColumn("tier_score", tier_score(F.col("employer_tier")))
+    # Both lookups are built from `named`, so neither repeats the other's join or the text scans.
+    spread = F.col("ingest_seq")
+    scored = salted_join(
+        scored, employer_lookup(named, employers), ["company_norm"], "left", spread,
+        min_hot_rows, count_in=named,
+    )
+    scored = salted_join(
+        scored, fuzzy_lookup(named, targets), ["title_norm"], "left", spread, min_hot_rows,
+        count_in=named,
+    )
+    scored = scored.withColumns({
+        "title_match": F.coalesce("fuzzy", F.lit(100.0)),
+        "tier_score": tier_score(F.col("employer_tier")),
+    }).drop("fuzzy", "company_norm", "title_norm")
     return scored.withColumns({
         "score": blend(weights),
         "match_reason": match_reason(

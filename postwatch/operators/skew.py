@@ -48,6 +48,7 @@ def salted_join(
     spread_by: Column,
     min_rows: float | None = HOT_ROWS,
     salts: int = SALTS,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """facts join other on keys, with the hot keys of facts spread over `salts` partitions and
     only the matching rows of `other` copied for them.  Same result as a plain equi-join.
@@ -55,7 +56,8 @@ def salted_join(
     how: inner, left, left_semi or left_anti.  spread_by: an expression over facts that varies
     within a key.  min_rows=None spreads every key without looking for hot ones: for an `other`
     that is a parameter table, cheap to copy `salts` times; infinite: facts is known to be
-    small.  Works without any session setting, so it does not depend on AQE."""
+    small.  count_in: where to count keys, when facts is a costly step beyond a table with the
+    same keys.  Works without any session setting, so it does not depend on AQE."""
     if min_rows == math.inf:
         return facts.join(other, keys, how)
     if min_rows is None:
@@ -63,7 +65,7 @@ def salted_join(
         spread = other.withColumn("_salt", F.explode(_all_salts(salts)))
         return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
     # One broadcast serves both sides: at most MAX_HOT_KEYS rows.
-    hot = F.broadcast(hot_keys(facts, keys, min_rows))
+    hot = F.broadcast(hot_keys(facts if count_in is None else count_in, keys, min_rows))
     salted = facts.join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), _salt(spread_by, salts)).otherwise(0)
     ).drop("_hot")

@@ -62,7 +62,7 @@ def first_contract(block: Column, vocabulary: list[str], ignore_case: bool) -> C
 
 def city_after(block: Column, line: str) -> Column:
     """The line after the first one that equals `line`."""
-    lines = F.filter(F.transform(F.split(block, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     at = F.array_position(lines, line).cast("int")
     return F.when(at > 0, F.get(lines, at))
 

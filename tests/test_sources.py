@@ -155,14 +155,14 @@ def test_generic_listing(spark):
 
 def test_block_listing(spark):
     html = """<body><article><a href="https://m.org/fr/offres/a">Acheteur</a><span>CDI</span>
-      <p>France</p><p>Ancenis</p><p>le 4 juillet 2026</p></article>
+      <p>France</p><p>Ancenis 01</p><p>le 4 juillet 2026</p></article>
       <article><a href="https://m.org/fr/offres/b">Stage achats</a> Stage</article>
       <article><a href="https://m.org/fr/offres/b">Encore</a> CDI</article>
       <article><a href="https://m.org/fr/offres/">Toutes</a></article>
       <article><a href="https://m.org/fr/offres/c">PO</a></article></body>"""
     got = pages.harvest_links(flat(spark, html), pages.BLOCKS).orderBy("ingest_seq").collect()
     assert [(r.url[-1], r.title, r.contract_type, r.location, r.posted_at) for r in got] == [
-        ("a", "Acheteur", "CDI", "Ancenis, France", dt.date(2026, 7, 4)),
+        ("a", "Acheteur", "CDI", "Ancenis 01, France", dt.date(2026, 7, 4)),
         ("c", "PO", None, "France", None)]
 
 
