@@ -116,7 +116,7 @@ def fuzzy_sql(targets: list[str], shapes: list[str]) -> str:
 # --- text ------------------------------------------------------------------------------------
 @query(f"SELECT doc_id, {norm('text')} AS normalized FROM documents")
 def normalized_text(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "documents")
+    df = views.documents(spark, sf)
     return df.select("doc_id", normalize(df.text).alias("normalized"))
 
 
@@ -420,14 +420,14 @@ def zone_rate(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT doc_id, {lexicon_sql('text', HARD)} AS hard, {lexicon_sql('text', SOFT)} AS soft "
        "FROM documents")
 def lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "documents")
+    df = views.documents(spark, sf)
     return df.select("doc_id", lexicon.lexicon_score(df.text, HARD).alias("hard"),
                      lexicon.lexicon_score(df.text, SOFT).alias("soft"))
 
 
 @query(f"SELECT doc_id, {lexicon_sql('text', HARD)} AS hard FROM documents")
 def lexicon_score_by_token(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "documents").select("doc_id", "text")
+    df = views.documents(spark, sf).select("doc_id", "text")
     return lexicon.score_lexicon(df, "text", HARD, "hard", "doc_id", max_projected=0).select(
         "doc_id", "hard")
 

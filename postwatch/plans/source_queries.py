@@ -13,6 +13,7 @@ from postwatch.operators import stats
 from postwatch.plans import defaults, views
 from postwatch.plans.queries import query
 from postwatch.plans.views import table
+from postwatch.session import spread
 from postwatch.sources import pages, payloads, registry
 
 PUBLIC = ["external_id", "title", "company", "location", "contract_type", "salary_min",
@@ -30,7 +31,7 @@ LINKS_SQL = f"""l AS (
 
 
 def _listings(spark: SparkSession, sf: str, pattern: str = "/e") -> DataFrame:
-    df = table(spark, sf, "pages")
+    df = spread(table(spark, sf, "pages"), "page_id")
     return pages.flat_pages(df.select(
         df.page_id.alias("page_seq"), "url", labels.url_host(df.url).alias("employer"),
         F.lit(pattern).alias("link_pattern"), "html"))
@@ -157,7 +158,7 @@ CARDS = """
 
 
 def _cards(spark: SparkSession, sf: str, url: str, html: str) -> DataFrame:
-    df = views.view(spark, sf, CARDS, "orders", "customer")
+    df = spread(views.view(spark, sf, CARDS, "orders", "customer"), "page_seq")
     return pages.flat_pages(df.selectExpr(
         "page_seq", f"'{url}' as url", "employer", "link_pattern", f"{html} as html"))
 
@@ -219,7 +220,7 @@ BASE = """
 
 
 def _base(spark: SparkSession, sf: str) -> DataFrame:
-    return views.view(spark, sf, BASE, "orders", "customer")
+    return spread(views.view(spark, sf, BASE, "orders", "customer"), "page_seq")
 
 
 def _landed(spark: SparkSession, sf: str, body: str) -> DataFrame:

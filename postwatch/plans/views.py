@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postwatch.session import spread
+
 # Documents as postings: long texts, few companies.
 DOC_POSTINGS = """
   SELECT CASE d.doc_id % 7 WHEN 0 THEN 'jobspy_indeed' WHEN 1 THEN 'france_travail'
@@ -96,12 +98,20 @@ def _bind(sql: str, tables: tuple[str, ...]) -> str:
     return sql
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, DOC_POSTINGS, "documents", "part", "supplier", "nation")
+    return spread(
+        view(spark, sf_dir, DOC_POSTINGS, "documents", "part", "supplier", "nation"), "ingest_seq"
+    )
 
 
 def order_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, ORDER_POSTINGS, "orders", "customer", "part")
+    return spread(
+        view(spark, sf_dir, ORDER_POSTINGS, "orders", "customer", "part"), "ingest_seq"
+    )
 
 
 def event_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:

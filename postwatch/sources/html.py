@@ -6,8 +6,9 @@ document order; all rules about links, blocks and texts are Spark expressions ov
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 from urllib.parse import quote, urljoin
 
 import pandas as pd
@@ -23,62 +24,71 @@ NODES = (
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
          "track", "wbr"}
 _SELF_CLOSING = {"p", "li", "dt", "dd", "option", "tr", "td", "th"}
+_RAW = {"script", "style", "title", "textarea"}
 _URL_SAFE = "%/:=&?~#+!$,;'@()*[]"
-
-
-class _Flattener(HTMLParser):
-    """Collects (parent, last descendant, tag, href, text) per node; node 0 is the document."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parent, self.last, self.tag = [-1], [0], ["#document"]
-        self.href, self.text, self.open = [None], [None], [0]
-        self.pending: list[str] = []  # a text may arrive in pieces
-
-    def _add(self, tag: str, href: str | None, text: str | None) -> None:
-        self.parent.append(self.open[-1])
-        self.last.append(len(self.tag))
-        self.tag.append(tag)
-        self.href.append(href)
-        self.text.append(text)
-
-    def _flush(self) -> None:
-        if text := "".join(self.pending).strip():
-            self._add("#text", None, text)
-        self.pending.clear()
-
-    def _close_to(self, depth: int) -> None:
-        while len(self.open) > depth:
-            self.last[self.open.pop()] = len(self.tag) - 1
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._flush()
-        if tag in _SELF_CLOSING and self.tag[self.open[-1]] == tag:
-            self._close_to(len(self.open) - 1)
-        self._add(tag, dict(attrs).get("href"), None)
-        if tag not in _VOID:
-            self.open.append(len(self.tag) - 1)
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        self._flush()
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[depth]] == tag:
-                self._close_to(depth)
-                return
-
-    def handle_data(self, data: str) -> None:
-        self.pending.append(data)
-
-    def handle_comment(self, data: str) -> None:
-        self._flush()
-
-    def close(self) -> None:
-        super().close()
-        self._flush()
-        self._close_to(0)
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z) | <[!?][^>]*>                                    # comment, declaration
+      | <(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)
+         (?P<attrs>(?:[^>"'] | "[^"]*" | '[^']*')*+)>                       # tag
+      | (?P<text>[^<]+ | <)""", re.S | re.X)
+_HREF = re.compile(r"""(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+
+
+def flatten(page: str) -> tuple[list, list, list, list, list]:
+    """(parent, last descendant, tag, href, text) per node; node 0 is the document."""
+    parent, last, tags, hrefs, texts = [-1], [0], ["#document"], [None], [None]
+    stack, pending, at = [0], [], 0
+
+    def add(tag: str, href: str | None, text: str | None) -> None:
+        parent.append(stack[-1])
+        last.append(len(tags))
+        tags.append(tag)
+        hrefs.append(href)
+        texts.append(text)
+
+    def flush() -> None:
+        if pending:
+            if text := unescape("".join(pending)).strip():
+                add("#text", None, text)
+            pending.clear()
+
+    def close_to(depth: int) -> None:
+        while len(stack) > depth:
+            last[stack.pop()] = len(tags) - 1
+
+    while m := _TOKEN.match(page, at):
+        at = m.end()
+        if m["text"]:
+            pending.append(m["text"])
+            continue
+        flush()
+        if m["tag"] is None:
+            continue
+        tag = m["tag"].lower()
+        if m["end"]:
+            for depth in range(len(stack) - 1, 0, -1):
+                if tags[stack[depth]] == tag:
+                    close_to(depth)
+                    break
+            continue
+        if tag in _SELF_CLOSING and tags[stack[-1]] == tag:
+            close_to(len(stack) - 1)
+        href = _HREF.search(m["attrs"]) if tag == "a" else None
+        add(tag, unescape(href[1] or href[2] or href[3] or "") if href else None, None)
+        if tag in _RAW:
+            end = re.compile(f"</{tag}", re.I).search(page, at)
+            stop = end.start() if end else len(page)
+            body = page[at:stop].strip()
+            if body:
+                stack.append(len(tags) - 1)
+                add("#text", None, body if tag in ("script", "style") else unescape(body))
+                close_to(len(stack) - 1)
+            at = stop
+        elif tag not in _VOID:
+            stack.append(len(tags) - 1)
+    flush()
+    close_to(0)
+    return parent, last, tags, hrefs, texts
 
 
 def resolve(base: str, href: str | None) -> str | None:
@@ -97,22 +107,23 @@ def _nodes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
     for urls, pages in batches:
         rows = []
         for base, page in zip(urls, pages):
-            flat = _Flattener()
-            flat.feed(page or "")
-            flat.close()
-            links = [
-                resolve(base or "", h) if t == "a" else None for h, t in zip(flat.href, flat.tag)
-            ]
-            rows.append((flat.parent, flat.last, flat.tag, flat.href, links, flat.text))
+            parent, last, tags, hrefs, texts = flatten(page or "")
+            links = [resolve(base or "", h) if h else None for h in hrefs]
+            rows.append((parent, last, tags, hrefs, links, texts))
         yield pd.DataFrame(rows, columns=NODES.names)
 
 
 def html_nodes(url: Column, html: Column) -> Column:
     """struct of parallel arrays.  Entries: parent and last descendant (indexes), tag, and href,
-    url (resolved) and text where the node has them."""
+    url (resolved) and text where the node has them.
+
+    Declared nondeterministic so that the optimizer does not copy it into pushed-down and inferred
+    filters: pages are parsed once."""
     return _nodes(url, html)
 
 
+_nodes = _nodes.asNondeterministic()
+
 # SQL over a column `n` of html_nodes(); indexes start at 0.
 def sql_text(node: str, separator: str) -> str:
     """Text of a node: its text nodes, each trimmed, joined."""
@@ -128,11 +139,8 @@ def sql_ancestors(node: str, levels: int) -> str:
 
 def sql_block(node: str, levels: int = 4) -> str:
     """Nearest enclosing li or article among the ancestors, else the farthest of them."""
-    up = sql_ancestors(node, levels)
-    return (
-        f"coalesce(get(filter({up}, b -> n.tag[b] in ('li', 'article')), 0), "
-        f"element_at({up}, -1), {node})"
-    )
+    settled = f"(c <> {node} and n.tag[c] in ('li', 'article')) or n.parent[c] < 0"
+    return f"aggregate(sequence(1, {levels}), {node}, (c, _) -> if({settled}, c, n.parent[c]))"
 
 
 def sql_heading_in(node: str) -> str:

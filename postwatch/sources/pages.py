@@ -28,17 +28,21 @@ def flat_pages(pages: DataFrame) -> DataFrame:
 
 
 def page_links(flat: DataFrame) -> DataFrame:
-    """One row per link: pos, href (as written), link_url (resolved), link_text, heading (first
-    one in the nearest of three ancestors that has any) and block (text around the link, one
-    line per text).  The rules run inside the page's row, so nothing is shuffled."""
+    """One row per link: pos, href (as written), link_url (resolved), link_text, heading (for a
+    link without text, the first one in the nearest of three ancestors that has any) and block
+    (text around the link, one line per text).  The rules run inside the page's row, so nothing
+    is shuffled."""
     heading = f"""
-        get(filter(transform({sql_ancestors('i', 3)}, a -> {sql_heading_in('a')}),
+        get(filter(transform({sql_ancestors('l.pos', 3)}, a -> {sql_heading_in('a')}),
                    h -> h is not null), 0)"""
     links = f"""
         transform(
           filter(sequence(0, size(n.tag) - 1), i -> n.tag[i] = 'a'),
           i -> struct(i as pos, n.href[i] as href, n.url[i] as link_url,
-                      {sql_text('i', '')} as link_text, {heading} as h, {sql_block('i')} as b))"""
+                      {sql_text('i', '')} as link_text, {sql_block('i')} as b))"""
+    with_heading = f"""
+        transform(links, l -> struct(l.pos, l.href, l.link_url, l.link_text, l.b,
+                                     if(l.link_text = '', {heading}, null) as h))"""
     text_of = f"""
         transform(links, l -> struct(
           l.pos, l.href, l.link_url, l.link_text,
@@ -46,6 +50,7 @@ def page_links(flat: DataFrame) -> DataFrame:
           {sql_text('l.b', chr(92) + 'n')} as block))"""
     return (
         flat.withColumn("links", F.expr(links))
+        .withColumn("links", F.expr(with_heading))
         .withColumn("links", F.expr(text_of))
         .drop("n")
         .select(*[c for c in flat.columns if c != "n"], F.inline("links"))
