@@ -125,22 +125,25 @@ def clean_targets(targets: list[str]) -> list[str]:
     return sorted({t for t in map(normalize_py, targets) if t})
 
 
-def title_lookup(titles: DataFrame, targets: list[str]) -> DataFrame:
-    """(title_norm, title_match) per distinct title: 100 when it contains a target, else the best
-    similarity.  Only the titles without a target reach Python."""
-    wanted = clean_targets(targets)
-    distinct = titles.select("title_norm").distinct()
-    hit = contains_any(F.col("title_norm"), wanted)
-    exact = distinct.filter(hit).withColumn("title_match", F.lit(100.0))
-    fuzzy = distinct.filter(~hit).withColumn("title_match", best_ratio(wanted)("title_norm"))
-    return exact.unionByName(fuzzy)
-
-
 def fuzzy_lookup(named: DataFrame, targets: list[str]) -> DataFrame:
     """(title_norm, fuzzy) per distinct title_norm that contains no target."""
     wanted = clean_targets(targets)
     misses = named.select("title_norm").filter(~contains_any(F.col("title_norm"), wanted))
-    return misses.distinct().withColumn("fuzzy", best_ratio(wanted)("title_norm"))
+    # Titles are short and their comparison is not: keep as many tasks as there are shuffle
+    # partitions, where AQE would pack millions of titles into one by their size.
+    tasks = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = misses.distinct().repartition(tasks, F.xxhash64("title_norm"))
+    return dealt.withColumn("fuzzy", best_ratio(wanted)("title_norm"))
+
+
+def title_lookup(titles: DataFrame, targets: list[str]) -> DataFrame:
+    """(title_norm, title_match) per distinct title: 100 when it contains a target, else the best
+    similarity.  Only the titles without a target reach Python."""
+    hit = contains_any(F.col("title_norm"), clean_targets(targets))
+    exact = titles.select("title_norm").filter(hit).distinct()
+    return exact.withColumn("title_match", F.lit(100.0)).unionByName(
+        fuzzy_lookup(titles, targets).withColumnRenamed("fuzzy", "title_match")
+    )
 
 
 def match_titles(df: DataFrame, targets: list[str], title: str = "title",

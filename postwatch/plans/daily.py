@@ -61,7 +61,7 @@ def daily_run(
 
     if page_texts is not None:
         lacking = lacks_description(F.col("source"), F.col("description"))
-        new_full = enrich_descriptions(new.filter(lacking), page_texts).unionByName(
+        new_full = enrich_descriptions(new.filter(lacking), page_texts, hot).unionByName(
             new.filter(~lacking)
         )
     else:

@@ -12,6 +12,7 @@ from postwatch.functions.dates import french_date, slash_date
 from postwatch.functions.labels import title_from_slug, url_path
 from postwatch.functions.places import place_from_text
 from postwatch.operators.dedup import keep_first
+from postwatch.operators.skew import HOT_ROWS, salted_join
 from postwatch.plans import defaults
 from postwatch.schema import JOB_AD
 from postwatch.sources.html import (
@@ -296,19 +297,22 @@ def job_ad_text(payloads: DataFrame, body: str = "body",
     return flat.withColumn("page_text", F.nullif(text, F.lit(""))).drop("n")
 
 
-def enrich_descriptions(postings: DataFrame, texts: DataFrame) -> DataFrame:
+def enrich_descriptions(postings: DataFrame, texts: DataFrame,
+                        min_hot_rows: float = HOT_ROWS) -> DataFrame:
     """Description := page text of the posting's url, and a blank location := the place that text
-    names.  Postings without a page keep what they have.  texts: one row per url."""
-    found = postings.join(texts.select("url", "page_text"), "url", "left").withColumn(
-        "_low", F.lower("page_text")
-    )
+    names.  Postings without a page keep what they have.  texts: one row per url, or with
+    page_seq, of which the first page of a url counts."""
+    if "page_seq" in texts.columns:
+        texts = keep_first(texts, ["url"], "page_seq")
+    found = salted_join(
+        postings, texts.select("url", "page_text"), ["url"], "left", F.col("ingest_seq"),
+        min_hot_rows,
+    ).withColumn("_low", F.lower("page_text"))
     described = F.coalesce("page_text", "description")
     blank = (F.col("location") == "") & F.col("page_text").isNotNull()
+    place = place_from_text(F.col("page_text"), F.col("_low"))
     return (
-        found.withColumn(
-            "location",
-            F.when(blank, place_from_text(F.col("page_text"), F.col("_low"))).otherwise(F.col("location")),
-        )
+        found.withColumn("location", F.when(blank, place).otherwise(F.col("location")))
         .withColumn("description", described)
         .select(postings.columns)
     )

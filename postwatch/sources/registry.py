@@ -13,11 +13,12 @@ from postwatch.functions.labels import url_host
 from postwatch.operators.dedup import keep_first
 from postwatch.operators.filters import check_sources
 from postwatch.plans import defaults
-from postwatch.session import materialize
+from postwatch.session import materialize, scratch_path
 from postwatch.sources import pages, payloads
 
 log = logging.getLogger(__name__)
 SOURCE_SHIFT = 48
+NO_MAPPER = "none"
 
 Mapper = Callable[[DataFrame], DataFrame]
 
@@ -55,16 +56,21 @@ def dispatch_key(ats: Column, careers_url: Column, by_domain: dict[str, str],
 def dispatch_career_pages(landed: DataFrame, by_domain: dict[str, str] | None = None,
                           mappers: dict[str, Mapper] = BY_ATS) -> tuple[DataFrame, DataFrame]:
     """(postings, skipped pages) of landed career pages: page_seq, employer, careers_url, ats,
-    link_pattern, body.  A url found through several employers stays with the first."""
-    keyed = landed.withColumn(
-        "_mapper", dispatch_key(landed.ats, landed.careers_url, by_domain or {}, list(mappers))
-    )
+    link_pattern, body.  A url found through several employers stays with the first.
+
+    Writes the pages once, in a folder per mapper, so that each mapper reads its own pages only
+    instead of every mapper reading all of them.  Runs one job."""
+    key = dispatch_key(landed.ats, landed.careers_url, by_domain or {}, list(mappers))
+    keyed = landed.withColumn("_mapper", F.coalesce(key, F.lit(NO_MAPPER)))
+    path = scratch_path(landed.sparkSession, "bronze")
+    keyed.write.partitionBy("_mapper").parquet(path)
+    split = landed.sparkSession.read.schema(keyed.schema).parquet(path)
     parts = [
-        mapper(keyed.filter(F.col("_mapper") == name).drop("_mapper", "ats"))
+        mapper(split.filter(F.col("_mapper") == name).drop("_mapper", "ats"))
         for name, mapper in mappers.items()
     ]
-    everything = reduce(DataFrame.unionByName, parts)
-    return keep_first(everything, ["url"]), keyed.filter("_mapper is null").drop("_mapper")
+    skipped = split.filter(F.col("_mapper") == NO_MAPPER).drop("_mapper")
+    return keep_first(reduce(DataFrame.unionByName, parts), ["url"]), skipped
 
 
 def union_sources(sources: dict[str, DataFrame | Callable[[], DataFrame]],

@@ -232,14 +232,16 @@ def test_job_ad(spark):
 
 def test_enrich(spark):
     postings = spark.createDataFrame(
-        [("u", "", None), ("v", "Lyon", "old"), ("w", "", "kept")],
-        "url string, location string, description string")
+        [("u", "", None, 1), ("v", "Lyon", "old", 2), ("w", "", "kept", 3)],
+        "url string, location string, description string, ingest_seq long")
     texts = spark.createDataFrame(
-        [("u", "poste à Rezé"), ("v", "poste à Nantes"), ("w", None)],
-        "url string, page_text string")
+        [(4, "u", "poste à Vertou"), (1, "u", "poste à Rezé"), (2, "v", "poste à Nantes"),
+         (3, "w", None)],
+        "page_seq long, url string, page_text string")
     got = pages.enrich_descriptions(postings, texts).orderBy("url").collect()
     assert [tuple(r) for r in got] == [
-        ("u", "Rezé", "poste à Rezé"), ("v", "Lyon", "poste à Nantes"), ("w", "", "kept")]
+        ("u", "Rezé", "poste à Rezé", 1), ("v", "Lyon", "poste à Nantes", 2),
+        ("w", "", "kept", 3)]
 
 
 # --- dimensions and dispatch ----------------------------------------------------------------
