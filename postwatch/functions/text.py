@@ -58,6 +58,11 @@ def _char_class(chars: list[str], gap: int = 64) -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
 
+@functools.cache
+def _expandable() -> str:
+    return _char_class([*fold_tables()[2], *map(chr, _HANGUL)])
+
+
 def _expand(folded: Column) -> Column:
     """Replace characters that decompose to several; only rows that hold one get here."""
     several = fold_tables()[2]
@@ -93,20 +98,24 @@ def _expand(folded: Column) -> Column:
 
 def fold(col: Column) -> Column:
     """Lower case, compatibility decomposition, combining marks dropped."""
-    source, target, several = fold_tables()
+    source, target, _ = fold_tables()
     folded = F.translate(F.lower(col), source, target)
-    expandable = _char_class([*several, *map(chr, _HANGUL)])
+    # Comparing lengths tells plain ASCII, the common case, without a regex.
     return F.when(
-        folded.rlike(f"[[^\\x00-\\x7f]&&[{expandable}]]"), _expand(folded)
+        (F.octet_length(folded) > F.length(folded))
+        & folded.rlike(f"[[^\\x00-\\x7f]&&[{_expandable()}]]"),
+        _expand(folded),
     ).otherwise(folded)
 
 
 def normalize(col: Column) -> Column:
     """Comparable form of a title, company or place: folded, gender marker removed, spaces
     collapsed, trailing punctuation dropped."""
-    text = F.regexp_replace(fold(col), "(?U)" + GENDER_MARKER.replace(r"\s", SPACE), " ")
-    text = F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
-    return F.trim(F.regexp_replace(text, f"[{re.escape(TRAILING_PUNCTUATION)}]+$", ""))
+    # What follows a run of spaces is never a space, so the runs need no backtracking.
+    marker = "(?U)" + GENDER_MARKER.replace(r"\s*", SPACE + "*+")
+    text = F.regexp_replace(fold(col), marker, " ")
+    text = F.trim(F.regexp_replace(text, f"(?U){SPACE}++", " "))
+    return F.trim(F.rtrim(text, F.lit(TRAILING_PUNCTUATION)))
 
 
 def normalize_py(text: str) -> str:
