@@ -1,4 +1,4 @@
-"""Published tables: offers, employer status, pipeline counts, source status."""
+"""Published tables: offers, employer status, status counts, source status."""
 
 from __future__ import annotations
 

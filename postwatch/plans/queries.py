@@ -19,7 +19,7 @@ from postwatch.plans import defaults, views
 from postwatch.plans.daily import daily_run
 from postwatch.plans.views import doc_postings, event_sightings, order_postings, table
 from postwatch.schema import SEEN, names
-from postwatch.session import scratch_path
+from postwatch.session import scratch_path, spread
 from postwatch.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -607,7 +607,6 @@ def greedy_sql(rows: str) -> str:
         JOIN k ON k.rn = q.krn)"""
 
 
-SCORE_COLUMN = "CAST(doc_id * 37 % 1000 AS DOUBLE) / 10"
 SCORED_DOCS = f"""SELECT *, CAST(ingest_seq * 37 % 1000 AS DOUBLE) / 10 AS score
   FROM ({views.DOC_POSTINGS})"""
 
@@ -804,7 +803,7 @@ def range_sql(numbers_of: str) -> str:
         round_even(CAST(replace(regexp_replace(n, '\s', '', 'g'), ',', '.') AS DOUBLE)
         * CASE WHEN contains(label, 'Annuel') THEN 1 ELSE 12 END / 1000, 0)) END"""))
 def salary_label(spark: SparkSession, sf: str) -> DataFrame:
-    df = views.view(spark, sf, LABELS, "orders")
+    df = spread(views.view(spark, sf, LABELS, "orders"), "o_orderkey")
     return df.withColumn("r", numbers.salary_from_label(df.label)).select(
         "o_orderkey", "r.salary_min", "r.salary_max")
 
@@ -814,7 +813,7 @@ def salary_label(spark: SparkSession, sf: str) -> DataFrame:
       list_transform(regexp_extract_all(keur_label, '\d+(?:[.,]\d+)?'), lambda n:
         round_even(CAST(replace(n, ',', '.') AS DOUBLE), 0)) END"""))
 def salary_keur(spark: SparkSession, sf: str) -> DataFrame:
-    df = views.view(spark, sf, LABELS, "orders")
+    df = spread(views.view(spark, sf, LABELS, "orders"), "o_orderkey")
     return df.withColumn("r", numbers.salary_from_keur_label(df.keur_label)).select(
         "o_orderkey", "r.salary_min", "r.salary_max")
 
@@ -841,7 +840,7 @@ DATES = f"""
       AS slash_date,
     CAST(o_orderdate AS DATE) AS epoch_date FROM d""")
 def posted_dates(spark: SparkSession, sf: str) -> DataFrame:
-    d = views.view(spark, sf, DATES, "orders")
+    d = spread(views.view(spark, sf, DATES, "orders"), "o_orderkey")
     millis = F.unix_millis(d.o_orderdate.cast("timestamp")).cast("string")
     return d.select(
         "o_orderkey", dates.iso_date(d.iso).alias("iso_date"),

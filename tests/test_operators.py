@@ -415,3 +415,30 @@ def test_report(spark, employers):
     assert row.top[0].startswith("[ 59.2] Service Delivery Manager H/F — Acme (44 - NANTES)")
     head = stats.sample_head(df.withColumn("description", F.lit("x" * 200))).collect()
     assert [len(r.description) for r in head] == [151] * 3
+
+
+# --- session --------------------------------------------------------------------------------
+def test_scratch_folder_is_the_one_the_session_names(spark):
+    from types import SimpleNamespace
+
+    from postwatch import session
+
+    def fake(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder),
+                               sparkContext=SimpleNamespace(master=master))
+
+    assert session.scratch_root(fake("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    with pytest.raises(ValueError):
+        session.scratch_root(fake("yarn", None))
+    assert session.scratch_root(spark) == session.scratch_root(spark)
+    kept = session.materialize(spark.range(5).toDF("x"), "t")
+    assert kept.count() == 5 and session.scratch_root(spark) in kept.inputFiles()[0]
+
+
+def test_small_input_is_dealt_out_and_large_left_alone(spark):
+    from postwatch.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 9, 1, 1), "id").rdd.getNumPartitions() == cores
+    large = spark.range(0, 9, 1, cores * 2)
+    assert spread(large, "id") is large
