@@ -15,8 +15,9 @@ SALTS = 64
 def hot_keys(df: DataFrame, keys: list[str], min_rows: float = HOT_ROWS) -> DataFrame:
     """The most frequent keys, at most MAX_HOT_KEYS of them, each with at least min_rows rows.
 
-    No key left out can hold more than 1/MAX_HOT_KEYS of the table, so the list bounds the skew
-    and is always small enough to broadcast.  Counting combines on the map side."""
+    A key left out has fewer than min_rows rows or at most 1/MAX_HOT_KEYS of the table, so the
+    list bounds the skew and is always small enough to broadcast.  Counting combines on the map
+    side."""
     return (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") >= min_rows)
