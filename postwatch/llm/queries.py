@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from postwatch.llm import exact, simhash
+from postwatch.llm import bpe, chat, exact, langid, packing, quality, simhash, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_packing": packing.op2_packing,
+    "op5_language_id": langid.op5_language_id,
+    "op6_chat_format": chat.op6_chat_format,
     "op7_simhash_neardup": simhash.op7_simhash_neardup,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op9_exact_dedup": exact.op9_exact_dedup,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
+    "op6_chat_format": chat.OP6_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
 }
