@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,12 +18,12 @@ from postwatch.llm.common import table, text_or_empty
 from postwatch.llm.tokens import tokenizer, vocabulary_path, word_encoder
 
 #: Code points of a text that one task encodes at once; longer texts are halved down to this.
-LEAF = 8192
+LEAF = 32_768
 #: Tokens on each side of a join that are encoded again first; doubled until both sides agree.
 MARGIN = 8
 BLANK = frozenset(" \t\n\x0b\x0c\r")
 LEAF_FIELDS = "uid long, doc_id long, leaf int, text string"
-CODE_FIELDS = LEAF_FIELDS + ", ids binary, starts binary, ends binary, heads binary"
+CODE_FIELDS = LEAF_FIELDS + ", codes binary"
 
 
 @dataclass
@@ -40,6 +41,18 @@ class Encoded:
         return Encoded(self.text, self.ids[lo:hi], self.starts[lo:hi], self.ends[lo:hi],
                        self.heads[lo:hi])
 
+    def packed(self) -> bytes:
+        """The tokens for a shuffle: places as steps, which compress well."""
+        steps = np.diff(self.starts, prepend=0), self.ends - self.starts, self.heads
+        return zlib.compress(np.concatenate([self.ids.astype("<i4"), *steps]).astype("<i4")
+                             .tobytes(), 1)
+
+    @staticmethod
+    def unpacked(text: str, codes: bytes) -> "Encoded":
+        ids, gaps, sizes, heads = np.frombuffer(zlib.decompress(codes), "<i4").reshape(4, -1)
+        starts = np.cumsum(gaps, dtype="int64")
+        return Encoded(text, ids.astype("<u4"), starts, starts + sizes, heads.astype(bool))
+
     def moved(self, by: int) -> "Encoded":
         return Encoded(self.text, self.ids, self.starts + by, self.ends + by, self.heads)
 
@@ -219,10 +232,7 @@ def _encode_leaves(path: str):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tree_encoder(path)
         for batch in batches:
-            got = [encoder.encode(t) for t in batch["text"]]
-            for name, kind in (("ids", "<u4"), ("starts", "<i8"), ("ends", "<i8"), ("heads", "?")):
-                batch[name] = [getattr(x, name).astype(kind).tobytes() for x in got]
-            yield batch
+            yield batch.assign(codes=[encoder.encode(t).packed() for t in batch["text"]])
 
     return encode
 
@@ -230,9 +240,7 @@ def _encode_leaves(path: str):
 def _join_leaves(path: str, margin: int):
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("leaf")
-        parts = [Encoded(r.text, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.starts, "<i8"),
-                         np.frombuffer(r.ends, "<i8"), np.frombuffer(r.heads, "?").copy())
-                 for r in rows.itertuples(index=False)]
+        parts = [Encoded.unpacked(t, codes) for t, codes in zip(rows["text"], rows["codes"])]
         whole = tree_encoder(path).tree(parts, margin)
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].astype("Int64"),
                              "ids": [whole.ids.astype("int32")]})
