@@ -10,15 +10,19 @@ from functools import lru_cache
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words and parts of words a worker remembers before it starts again, and their most bytes.
-CACHE_WORDS = 400_000
+#: Words and parts of words a worker remembers before it starts again (some 150 bytes each), and
+#: their most bytes.
+CACHE_WORDS = 600_000
 CACHE_BYTES = 64
 #: Parts that go to the library in one call.
-BATCH = 4096
+BATCH = 1024
+#: Bytes of texts whose new words are gathered at a time.
+LEARN_BYTES = 1 << 21
 #: Where a word may be cut without changing its ids: between a letter and an ASCII symbol that is
 #: no apostrophe (letters: a-z and the two-byte ones from U+00C0 to U+024F, lower-cased ASCII).
 LETTER = rb"(?:[a-z]|[\xc4-\xc9][\x80-\xbf]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
 SYMBOL = rb"[!-&(-/:-@\[-`{-~]"
+LETTERS = re.compile(LETTER + rb"+")
 CUTS = re.compile(rb"(?<=[a-z])(?=" + SYMBOL + rb")"
                   rb"|(?<=[\xc3-\xc9][\x80-\xbf])(?<!\xc3[\x97\xb7])(?=" + SYMBOL + rb")"
                   rb"|(?<=" + SYMBOL + rb")(?=" + LETTER + rb")")
@@ -51,8 +55,9 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder()
-                        .values()]
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in special)
+                                  or b"(?!)")
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
@@ -60,10 +65,18 @@ class WordEncoder:
         found = self.tokenizer.encode_batch([p.decode() for p in parts], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _letters(self, parts: list[bytes]) -> list[bytes]:
+        """Parts of letters only are one piece each, so one text holds them all."""
+        got = self.tokenizer.encode(b" ".join(parts).decode(), add_special_tokens=False)
+        piece = np.array(got.word_ids)
+        ends = np.flatnonzero(np.diff(piece, append=-1)) + 1
+        if len(ends) != len(parts):
+            return self._library(parts)
+        ids, cuts = np.array(got.ids, "<u4").tobytes(), (4 * ends).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def _cut(self, word: bytes) -> list[bytes]:
-        if any(s in word for s in self.special):
-            return [word]
-        return CUTS.split(word.lower())
+        return [word] if self.special.search(word) else CUTS.split(word.lower())
 
     def learn(self, texts: Iterable[bytes]) -> None:
         """Encode the short words of texts that are not known yet, in batches."""
@@ -71,31 +84,43 @@ class WordEncoder:
             self.words.clear()
         if len(self.parts) > CACHE_WORDS:
             self.parts.clear()
-        fresh: dict[bytes, list[bytes]] = {}
+        seen: set[bytes] = set()
         for text in texts:
-            for word in text.split():
-                if word not in self.words and word not in fresh and len(word) <= CACHE_BYTES:
-                    fresh[word] = self._cut(word)
-            if len(fresh) > CACHE_WORDS:
-                break  # the rest is encoded as it comes
+            seen.update(text.split())
+        seen.difference_update(self.words)
+        fresh = {word: self._cut(word) for word in seen if len(word) <= CACHE_BYTES}
         parts = self.parts
-        new = list({p for cut in fresh.values() for p in cut if p not in parts})
-        for at in range(0, len(new), BATCH):
-            some = new[at:at + BATCH]
-            parts.update(zip(some, self._library(some)))
+        new = {p for cut in fresh.values() for p in cut if p not in parts}
+        letters = [p for p in new if LETTERS.fullmatch(p)]
+        others = list(new.difference(letters))
+        for some, call in ((letters, self._letters), (others, self._library)):
+            for at in range(0, len(some), BATCH):
+                parts.update(zip(some[at:at + BATCH], call(some[at:at + BATCH])))
         self.words.update((w, b"".join([parts[p] for p in cut])) for w, cut in fresh.items())
 
     def encode(self, text: bytes) -> np.ndarray:
-        words = self.words
-        parts = [words[w] if w in words else self._library([w])[0] for w in text.split()]
-        return np.frombuffer(b"".join(parts), "<u4")
+        words, split = self.words, text.split()
+        try:
+            return np.frombuffer(b"".join(map(words.__getitem__, split)), "<u4")
+        except KeyError:
+            parts = [words[w] if w in words else self._library([w])[0] for w in split]
+            return np.frombuffer(b"".join(parts), "<u4")
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterable[np.ndarray]:
         """Ids of each text; null counts as empty."""
-        raw = [(t or "").encode() for t in texts]
-        self.learn(raw)
-        for text in raw:
-            yield self.encode(text)
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            held.append((text or "").encode())
+            size += len(held[-1])
+            if size > LEARN_BYTES:
+                yield from self._learnt(held)
+                held, size = [], 0
+        yield from self._learnt(held)
+
+    def _learnt(self, texts: list[bytes]) -> Iterable[np.ndarray]:
+        self.learn(texts)
+        return map(self.encode, texts)
 
 
 @lru_cache(maxsize=4)
