@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from postwatch.llm import bpe, chat, exact, langid, lines, packing, quality, simhash, warc
+from postwatch.llm import (
+    bpe,
+    chat,
+    exact,
+    langid,
+    licenses,
+    lines,
+    packing,
+    quality,
+    simhash,
+    warc,
+)
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_packing": packing.op2_packing,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_language_id": langid.op5_language_id,
     "op6_chat_format": chat.op6_chat_format,
