@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postwatch.operators.skew import HOT_ROWS, salted_join
+from postwatch.operators.components import components
+from postwatch.operators.skew import salted_join
 from postwatch.session import materialize
 
+#: Rows of a group of conflicting postings that one task settles in order.
+GROUP_ROWS = 1_000_000
+
 
 def keep_first(df: DataFrame, keys: list[str], order: str = "ingest_seq") -> DataFrame:
     """One row per key: the first by `order`, which must be unique within a key.
@@ -49,40 +56,80 @@ def row_cap(
     return (kept if uncapped is None else kept.unionByName(uncapped)).drop("_cap")
 
 
+def _taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sequential pass over the groups of a partition that is sorted by group and order."""
+    group, firsts, seconds = None, set(), set()
+    for batch in batches:
+        taken = []
+        for of, row, first, second in zip(batch["_group"], batch["_row"], batch["_k1"],
+                                          batch["_k2"]):
+            if of != group:
+                group, firsts, seconds = of, set(), set()
+            if first not in firsts and second not in seconds:
+                firsts.add(first)
+                seconds.add(second)
+                taken.append(row)
+        yield pd.DataFrame({"_row": np.array(taken, "int64")})
+
+
+def _conflicts(rows: DataFrame) -> DataFrame:
+    """Links of each row to the smallest row with its first, and with its second, key."""
+    parts = []
+    for key in ("_k1", "_k2"):
+        least = rows.groupBy(key).agg(F.min("_row").alias("v"))
+        parts.append(salted_join(rows.select("_row", key), least, [key], "inner", F.col("_row"))
+                     .select(F.col("_row").alias("u"), "v"))
+    return parts[0].unionByName(parts[1]).where("u <> v")
+
+
 def greedy_or_dedup(
     df: DataFrame, key1: str, key2: list[str], order: str = "ingest_seq",
-    min_hot_rows: float = HOT_ROWS,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Rows that a sequential pass by `order` would accept when it takes a row only if neither
-    its key1 nor its key2 was accepted before.
-
-    Runs as rounds.  The first open row of both its key1 and its key2 group cannot be beaten, so
-    it is accepted; every open row that shares a key with it is rejected; repeat.  This is the
-    lexicographically first maximal independent set by rounds (Blelloch, Fineman, Shun,
-    SPAA 2012): few rounds in practice, and each round accepts at least one row, so it ends.
-    Each round writes the narrow open table and cuts its lineage.  `order` must be unique and
-    the keys not null.  Runs jobs."""
-    keys = [key1, *key2]
+    its key1 nor its key2 was accepted before.  A null key is a value like any other.
+
+    Rows that can influence each other are connected over shared keys, so the table falls into
+    components, found in a number of rounds that grows with the logarithm of the longest chain.
+    A component of at most `group_rows` rows is settled by the sequential pass itself, streamed
+    in one task; larger ones go through rounds (Blelloch, Fineman, Shun, SPAA 2012): the first
+    open row of both its groups cannot be beaten, is accepted, and rejects all that share a key
+    with it.  Each of those rounds accepts at least one row and removes it by its number, so it
+    ends.  `order` must be unique and not null.  Runs jobs."""
+    named = df.select(
+        F.to_json(F.struct(F.col(key1).alias("a")), {"ignoreNullFields": "false"}).alias("_k1"),
+        F.to_json(F.struct(*[F.col(k).alias(f"b{i}") for i, k in enumerate(key2)]),
+                  {"ignoreNullFields": "false"}).alias("_k2"),
+        F.col(order).alias("_order"))
     # Rows with both keys equal: only the first can win.  Combines on the map side.
-    open_rows = materialize(
-        df.groupBy(*keys).agg(F.min(order).alias(order)), "greedy-open"
-    )
-    accepted = None
-    # A table shorter than min_hot_rows has no hot keys; counts come from the file footers.
-    while n := open_rows.count():
-        limit = min_hot_rows if n >= min_hot_rows else math.inf
-        first1 = open_rows.groupBy(key1).agg(F.min(order).alias(order))
-        first2 = open_rows.groupBy(*key2).agg(F.min(order).alias(order))
+    rows = materialize(named.groupBy("_k1", "_k2").agg(F.min("_order").alias("_order")).withColumn(
+        "_row", F.monotonically_increasing_id()), "greedy-rows")
+    linked = components(_conflicts(rows)).withColumnsRenamed({"node": "_row", "component": "_group"})
+    grouped = materialize(rows.join(linked, "_row", "left").withColumn(
+        "_group", F.coalesce("_group", "_row")), "greedy-groups")
+    sizes = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
+    large = sizes.filter(F.col("_size") > group_rows).select("_group")
+    small = salted_join(grouped, large, ["_group"], "left_anti", F.col("_row"))
+    settled = (small.repartition("_group").sortWithinPartitions("_group", "_order")
+               .select("_group", "_row", "_k1", "_k2").mapInPandas(_taken, "_row long"))
+    won = [settled, *_by_rounds(
+        salted_join(grouped, large, ["_group"], "left_semi", F.col("_row")).drop("_group"))]
+    accepted = rows.join(reduce(DataFrame.unionByName, won), "_row", "left_semi")
+    return df.join(accepted.select(F.col("_order").alias(order)), order, "left_semi").select(
+        df.columns)
+
+
+def _by_rounds(rows: DataFrame) -> list[DataFrame]:
+    """Winners of each round, as written tables; each round reads what the last one left open."""
+    open_rows, won = materialize(rows, "greedy-open"), []
+    while not open_rows.isEmpty():
+        first = [open_rows.groupBy(k).agg(F.min("_order").alias("_order")) for k in ("_k1", "_k2")]
         # Joined on the unique order, so hot keys do not matter here.
-        winners = materialize(first1.join(first2, order), "greedy-won")
-        accepted = winners if accepted is None else accepted.unionByName(winners)
-        rest = salted_join(
-            open_rows, winners.select(key1), [key1], "left_anti", F.col(order), limit
-        )
-        rest = salted_join(
-            rest, winners.select(*key2), key2, "left_anti", F.col(order), limit
-        )
-        open_rows = materialize(rest.select(*keys, order), "greedy-open")
-    if accepted is None:
-        return df.limit(0)
-    return df.join(accepted.select(order), order, "left_semi").select(df.columns)
+        winners = materialize(first[0].join(first[1], "_order").select("_order", "_k1", "_k2"),
+                              "greedy-won")
+        for key in ("_k1", "_k2"):
+            open_rows = salted_join(open_rows, winners.select(key), [key], "left_anti",
+                                    F.col("_row"))
+        won.append(rows.join(winners.select("_order"), "_order", "left_semi").select("_row"))
+        open_rows = materialize(open_rows, "greedy-open")
+    return won

@@ -22,11 +22,11 @@ def is_excluded_contract(
     title_pattern: str = defaults.EXCLUDED_TITLE,
 ) -> Column:
     """The contract, or one of its words, is in the vocabulary, or the title names one.
-    A missing contract says nothing."""
+    A missing contract or title says nothing."""
     low = F.lower(strip(F.coalesce(contract, F.lit(""))))
     words = F.array_append(F.split(low, r"(?U)[\s\x1c-\x1f]+"), low)
     listed = F.arrays_overlap(words, F.array(*map(F.lit, vocabulary)))
-    return listed | title.rlike("(?iuU)" + title_pattern)
+    return listed | F.coalesce(title, F.lit("")).rlike("(?iuU)" + title_pattern)
 
 
 def exclude_contracts(df: DataFrame, vocabulary: list[str] = defaults.EXCLUDED_CONTRACTS,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postwatch.functions.places import contains_any
 from postwatch.functions.text import normalize, normalize_py
-from postwatch.operators.skew import HOT_ROWS, salted_join
+from postwatch.operators.skew import salted_join
 from postwatch.plans import defaults
 
 
@@ -20,12 +20,13 @@ def _tokens(col: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(col, F.lit("[a-z0-9]+|[^a-z0-9 ]"), F.lit(0)))
 
 
-def _anchor(col: Column) -> Column:
-    """The longest token.  A name found at word boundaries has every token of its own as a token
-    of the text around it, so any one will do, and a long one is rare."""
-    return F.get(
-        F.array_sort(_tokens(col), lambda a, b: F.length(b) - F.length(a)), F.lit(0)
-    )
+def _anchors(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(_name, _t): the rarest token of each name.  A name found at word boundaries has every
+    token of its own as a token of the text around it, so any one will do."""
+    each = names.select("_name", F.explode(_tokens(F.col("_name"))).alias("_t"))
+    rarest = F.min_by("_t", F.struct("_n", (-F.length("_t")).alias("_l"), "_t"))
+    return salted_join(each, counts, ["_t"], "inner", F.col("_name")).groupBy("_name").agg(
+        rarest.alias("_t"))
 
 
 def _word_match(needle: Column, text: Column) -> Column:
@@ -45,30 +46,37 @@ def employer_needles(employers: DataFrame) -> DataFrame:
     )
 
 
-def employer_lookup(companies: DataFrame, employers: DataFrame, salts: int = 8) -> DataFrame:
+def employer_lookup(companies: DataFrame, employers: DataFrame) -> DataFrame:
     """(company_norm, employer, employer_tier) for the normalized companies that match.
 
     A company matches an employer when one of the employer's names stands in it at word
     boundaries, or the other way round; the lowest ord wins.  Instead of comparing all pairs,
-    both sides meet on a token: the anchor of the shorter name is a token of the longer one.
-    Only those pairs are verified.  Companies are spread over `salts` parts, as one word may be
-    part of very many names."""
+    both sides meet on a token: the rarest one of the shorter name, by the number of distinct
+    names on both sides that hold it, is a token of the longer one.  Only those pairs are
+    verified, so a word that all names share brings nobody together unless a name has no other.
+    Companies with a common word are dealt over parts."""
     company, needle = F.col("company_norm"), F.col("needle")
     companies = companies.select("company_norm").distinct()  # '' has no token: no match
     needles = employer_needles(employers)
 
-    def keyed(df: DataFrame, name: Column, inner: str) -> DataFrame:
+    names = companies.select(company.alias("_name")).unionByName(
+        needles.select(needle.alias("_name"))).distinct()
+    counts = names.select(F.explode(_tokens(F.col("_name"))).alias("_t")).groupBy("_t").agg(
+        F.count(F.lit(1)).alias("_n"))
+    anchors = _anchors(names, counts)
+
+    def keyed(df: DataFrame, name: str, inner: str) -> DataFrame:
         """Rows (inner, _t): as the shorter name by anchor, as the longer one by every token."""
-        short = F.struct(F.lit(inner).alias("_short"), _anchor(name).alias("_t"))
         other = "needle" if inner == "company" else "company"
-        long = F.transform(
-            _tokens(name), lambda t: F.struct(F.lit(other).alias("_short"), t.alias("_t"))
-        )
-        return df.select("*", F.inline(F.array_append(long, short)))
+        long = df.select("*", F.lit(other).alias("_short"),
+                         F.explode(_tokens(F.col(name))).alias("_t"))
+        short = df.join(anchors.withColumnRenamed("_name", name), name).select(
+            df.columns + [F.lit(inner).alias("_short"), "_t"])
+        return long.unionByName(short)
 
     pairs = salted_join(
-        keyed(companies, company, "company"), keyed(needles, needle, "needle"),
-        ["_short", "_t"], "inner", company, min_rows=None, salts=salts,
+        keyed(companies, "company_norm", "company"), keyed(needles, "needle", "needle"),
+        ["_short", "_t"], "inner", company,
     ).filter(
         F.when(F.col("_short") == "needle", _word_match(needle, company))
         .otherwise(_word_match(company, needle))
@@ -80,13 +88,13 @@ def employer_lookup(companies: DataFrame, employers: DataFrame, salts: int = 8)
 
 
 def match_employer(df: DataFrame, employers: DataFrame, company: str = "company",
-                   spread_by: str = "ingest_seq", min_hot_rows: float = HOT_ROWS) -> DataFrame:
+                   spread_by: str = "ingest_seq") -> DataFrame:
     """Add employer and employer_tier (null when off the list).  Matching runs once per distinct
     company; one company may have most of the postings, so the way back is salted."""
     named = df.withColumn("company_norm", normalize(F.col(company)))
     found = employer_lookup(named, employers)
     return salted_join(
-        named, found, ["company_norm"], "left", F.col(spread_by), min_hot_rows
+        named, found, ["company_norm"], "left", F.col(spread_by)
     ).drop("company_norm")
 
 
@@ -147,13 +155,13 @@ def title_lookup(titles: DataFrame, targets: list[str]) -> DataFrame:
 
 
 def match_titles(df: DataFrame, targets: list[str], title: str = "title",
-                 spread_by: str = "ingest_seq", min_hot_rows: float = HOT_ROWS) -> DataFrame:
+                 spread_by: str = "ingest_seq") -> DataFrame:
     """Add title_match.  Only titles without a target are looked up, once per distinct title;
     the others find nothing there and get 100."""
     named = df.withColumn("title_norm", normalize(F.col(title)))
     return (
         salted_join(named, fuzzy_lookup(named, targets), ["title_norm"], "left",
-                    F.col(spread_by), min_hot_rows)
+                    F.col(spread_by))
         .withColumn("title_match", F.coalesce("fuzzy", F.lit(100.0)))
         .drop("fuzzy", "title_norm")
     )

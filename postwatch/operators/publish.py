@@ -13,7 +13,7 @@ from postwatch.functions.text import clean_employer, normalize, or_default
 from postwatch.operators.dedup import greedy_or_dedup
 from postwatch.operators.match import match_employer
 from postwatch.operators.score import rank_key
-from postwatch.operators.skew import HOT_ROWS, salted_join
+from postwatch.operators.skew import salted_join
 from postwatch.plans import defaults
 
 OFFER_COLUMNS = [
@@ -62,8 +62,8 @@ def pair_columns(company: Column, title: Column) -> dict[str, Column]:
     return {"_employer": clean_employer(company), "_title": normalize(title)}
 
 
-def not_yet_published(retained: DataFrame, offers: DataFrame, spread_by: str = "ingest_seq",
-                      min_hot_rows: float = HOT_ROWS) -> DataFrame:
+def not_yet_published(retained: DataFrame, offers: DataFrame,
+                      spread_by: str = "ingest_seq") -> DataFrame:
     """Postings with neither their url nor their (employer, title) pair in the offers table.
     Two anti joins: a single OR condition would compare all pairs."""
     pairs = offers.select(
@@ -71,24 +71,23 @@ def not_yet_published(retained: DataFrame, offers: DataFrame, spread_by: str = "
     ).distinct()
     urls = offers.select(F.trim("url").alias("url")).filter("url != ''").distinct()
     spread = F.col(spread_by)
-    fresh = salted_join(retained, urls, ["url"], "left_anti", spread, min_hot_rows)
+    fresh = salted_join(retained, urls, ["url"], "left_anti", spread)
     fresh = fresh.withColumns(pair_columns(fresh.company, fresh.title))
     named = retained.withColumns(pair_columns(retained.company, retained.title))
     return salted_join(
-        fresh, pairs, ["_employer", "_title"], "left_anti", spread, min_hot_rows, count_in=named
+        fresh, pairs, ["_employer", "_title"], "left_anti", spread, count_in=named
     ).select(retained.columns)
 
 
-def select_offers(retained: DataFrame, offers: DataFrame,
-                  min_hot_rows: float = HOT_ROWS) -> DataFrame:
+def select_offers(retained: DataFrame, offers: DataFrame) -> DataFrame:
     """Postings to publish, best first wins: not in the table yet, nor twice in the batch.
     Runs jobs (greedy rounds)."""
-    fresh = not_yet_published(retained, offers, min_hot_rows=min_hot_rows)
+    fresh = not_yet_published(retained, offers)
     keyed = fresh.withColumns(
         {**pair_columns(fresh.company, fresh.title), "_rank": rank_key()}
     )
     return greedy_or_dedup(
-        keyed, "url", ["_employer", "_title"], "_rank", min_hot_rows
+        keyed, "url", ["_employer", "_title"], "_rank"
     ).select(retained.columns)
 
 
@@ -108,11 +107,10 @@ class OfferTable:
             rows = self.spark.createDataFrame([], ddl)
         return rows.filter(F.col("run_seq") < before)
 
-    def append(self, retained: DataFrame, run_seq: int, run_date: dt.date,
-               min_hot_rows: float = HOT_ROWS) -> DataFrame:
+    def append(self, retained: DataFrame, run_seq: int, run_date: dt.date) -> DataFrame:
         """Publish what earlier runs did not; a retry of the run sees the same earlier runs and
         replaces its own folder.  Returns the rows of this run as written."""
-        chosen = select_offers(retained, self.read(before=run_seq), min_hot_rows)
+        chosen = select_offers(retained, self.read(before=run_seq))
         offer_rows(chosen, run_date).write.mode("overwrite").parquet(
             f"{self.root}/run_seq={run_seq}"
         )
@@ -125,16 +123,15 @@ def touched_employers(retained: DataFrame) -> DataFrame:
 
 
 def update_employer_status(tracker: DataFrame, touched: DataFrame, employers: DataFrame,
-                           run_date: dt.date, min_hot_rows: float = HOT_ROWS) -> DataFrame:
+                           run_date: dt.date) -> DataFrame:
     """Tracker (row_id, employer, status, last_action, next_action) with the touched employers'
     blank or first status moved on, and a column changed.  Later statuses stay as they are."""
     matched = match_employer(
         tracker.withColumnRenamed("employer", "tracked"), employers, "tracked", "row_id",
-        min_hot_rows,
     )
     flagged = salted_join(
         matched, touched.select("employer", F.lit(True).alias("_touched")), ["employer"], "left",
-        F.col("row_id"), min_hot_rows,
+        F.col("row_id"),
     )
     status = F.coalesce(normalize(F.col("status")), F.lit(""))
     changed = F.coalesce("_touched", F.lit(False)) & status.isin(OPEN_STATUSES)

@@ -15,7 +15,7 @@ from postwatch.functions.text import normalize
 from postwatch.operators.filters import passes_threshold
 from postwatch.operators.lexicon import lexicon_score
 from postwatch.operators.match import employer_lookup, fuzzy_lookup, tier_score
-from postwatch.operators.skew import HOT_ROWS, salted_join
+from postwatch.operators.skew import salted_join
 from postwatch.plans import defaults
 
 
@@ -41,7 +41,6 @@ def score_postings(
     hard: dict[str, int] = defaults.HARD_SKILLS,
     soft: dict[str, int] = defaults.SOFT_SKILLS,
     weights: dict[str, float] = defaults.WEIGHTS,
-    min_hot_rows: float = HOT_ROWS,
     **location_params,
 ) -> DataFrame:
     """Add the five sub-scores, score, employer, employer_tier and match_reason.
@@ -58,11 +57,10 @@ def score_postings(
     # Both lookups are built from `named`, so neither repeats the other's join or the text scans.
     spread = F.col("ingest_seq")
     scored = salted_join(
-        scored, employer_lookup(named, employers), ["company_norm"], "left", spread,
-        min_hot_rows, count_in=named,
+        scored, employer_lookup(named, employers), ["company_norm"], "left", spread, count_in=named,
     )
     scored = salted_join(
-        scored, fuzzy_lookup(named, targets), ["title_norm"], "left", spread, min_hot_rows,
+        scored, fuzzy_lookup(named, targets), ["title_norm"], "left", spread,
         count_in=named,
     )
     scored = scored.withColumns({
@@ -95,6 +93,5 @@ def top(df: DataFrame, k: int = 3) -> DataFrame:
 
 
 def rank_key() -> Column:
-    """Unique number that sorts like rank(): scores have one decimal, ingest_seq is below 2^52."""
-    tenths = F.bround(F.col("score") * 10, 0).cast("bigint")
-    return F.shiftleft(F.lit(1000).cast("bigint") - tenths, 52) + F.col("ingest_seq")
+    """Unique value that sorts like rank()."""
+    return F.struct((-F.col("score")).alias("worse"), "ingest_seq")

@@ -2,43 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 256
-HOT_ROWS = 100_000
-SALTS = 64
-
-
-def hot_keys(df: DataFrame, keys: list[str], min_rows: float = HOT_ROWS) -> DataFrame:
-    """The most frequent keys, at most MAX_HOT_KEYS of them, each with at least min_rows rows.
-
-    A key left out has fewer than min_rows rows or at most 1/MAX_HOT_KEYS of the table, so the
-    list bounds the skew and is always small enough to broadcast.  Counting combines on the map
-    side."""
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-
-
-def hot_limit(df: DataFrame) -> float:
-    """min_rows for joins of df and what is derived from it row by row.  A table with fewer than
-    HOT_ROWS rows has no hot keys, so nobody needs to look for them.  Runs a count."""
-    return HOT_ROWS if df.count() >= HOT_ROWS else math.inf
-
-
-def _salt(spread_by: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-
-
-def _all_salts(salts: int) -> Column:
-    return F.sequence(F.lit(0), F.lit(salts - 1))
+#: Parts over which the rows of one key are dealt.
+PARTS = 1024
 
 
 def salted_join(
@@ -47,29 +15,19 @@ def salted_join(
     keys: list[str],
     how: str,
     spread_by: Column,
-    min_rows: float | None = HOT_ROWS,
-    salts: int = SALTS,
+    parts: int = PARTS,
     count_in: DataFrame | None = None,
 ) -> DataFrame:
-    """facts join other on keys, with the hot keys of facts spread over `salts` partitions and
-    only the matching rows of `other` copied for them.  Same result as a plain equi-join.
-
-    how: inner, left, left_semi or left_anti.  spread_by: an expression over facts that varies
-    within a key.  min_rows=None spreads every key without looking for hot ones: for an `other`
-    that is a parameter table, cheap to copy `salts` times; infinite: facts is known to be
-    small.  count_in: where to count keys, when facts is a costly step beyond a table with the
-    same keys.  Works without any session setting, so it does not depend on AQE."""
-    if min_rows == math.inf:
-        return facts.join(other, keys, how)
-    if min_rows is None:
-        salted = facts.withColumn("_salt", _salt(spread_by, salts))
-        spread = other.withColumn("_salt", F.explode(_all_salts(salts)))
-        return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
-    # One broadcast serves both sides: at most MAX_HOT_KEYS rows.
-    hot = F.broadcast(hot_keys(facts if count_in is None else count_in, keys, min_rows))
-    salted = facts.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), _salt(spread_by, salts)).otherwise(0)
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), _all_salts(salts)).otherwise(F.array(F.lit(0)))
-    spread = other.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    """facts join other on keys, with the rows of each key dealt over `parts` by spread_by, an
+    expression over facts that varies within a key.  Same result as a plain equi-join.
+
+    how: inner, left, left_semi or left_anti.  Rows of `other` are copied only to the parts in
+    which their key has facts, so a rare key costs one copy and a common one at most `parts`.
+    Null keys, which match nothing, are dealt like any other.  One plan at every size: there is no
+    list of hot keys and no threshold.  count_in: where to find the parts, when facts is a costly
+    step beyond a table with the same keys and spread_by columns."""
+    part = F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int").alias("_part")
+    used = (facts if count_in is None else count_in).select(*keys, part).distinct()
+    # A key's parts are at most `parts` rows here, whatever the number of its facts.
+    placed = used.join(other, keys)
+    return facts.select("*", part).join(placed, [*keys, "_part"], how).drop("_part")

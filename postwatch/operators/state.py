@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postwatch.operators.skew import HOT_ROWS, salted_join
+from postwatch.operators.skew import salted_join
 from postwatch.schema import SEEN, SEEN_ATTRIBUTES, names
 
 # One shape for a run's sightings and for the folded state, so folding is associative: runs can
@@ -18,22 +18,21 @@ SIGHTINGS = """
     last_run BIGINT, last_seen DATE, source STRING, url STRING, title STRING, company STRING"""
 
 
-def flag_known(batch: DataFrame, seen: DataFrame, spread_by: str = "ingest_seq",
-               min_hot_rows: float = HOT_ROWS) -> DataFrame:
+def flag_known(batch: DataFrame, seen: DataFrame, spread_by: str = "ingest_seq") -> DataFrame:
     """Add is_known: the fingerprint is in seen, as seen stood before this batch.  Two postings
     of one batch with the same fingerprint are therefore both new."""
     known = seen.select("fingerprint").distinct().withColumn("is_known", F.lit(True))
     return salted_join(
-        batch, known, ["fingerprint"], "left", F.col(spread_by), min_hot_rows
+        batch, known, ["fingerprint"], "left", F.col(spread_by)
     ).withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 
-def split_new_known(batch: DataFrame, seen: DataFrame, spread_by: str = "ingest_seq",
-                    min_hot_rows: float = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def split_new_known(batch: DataFrame, seen: DataFrame,
+                    spread_by: str = "ingest_seq") -> tuple[DataFrame, DataFrame]:
     """(new, known) postings: left anti and left semi join on the fingerprint."""
     keys = seen.select("fingerprint").distinct()
     return tuple(
-        salted_join(batch, keys, ["fingerprint"], how, F.col(spread_by), min_hot_rows)
+        salted_join(batch, keys, ["fingerprint"], how, F.col(spread_by))
         for how in ("left_anti", "left_semi")
     )
 

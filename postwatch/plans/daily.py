@@ -12,7 +12,6 @@ from postwatch.functions.text import fingerprint
 from postwatch.operators.filters import exclude_contracts, lacks_description
 from postwatch.operators.publish import OfferTable, touched_employers
 from postwatch.operators.score import retain, score_postings
-from postwatch.operators.skew import hot_limit
 from postwatch.operators.state import SeenLog, flag_known
 from postwatch.operators.stats import count_rows, daily_report, merge_rows, source_stats
 from postwatch.plans import defaults
@@ -54,24 +53,23 @@ def daily_run(
     kept = kept.withColumn("fingerprint", fingerprint(kept.company, kept.title))
     # Written once: everything below reads it several times.
     flagged = materialize(flag_known(kept, seen.keys(before=run_seq)), "flagged")
-    hot = hot_limit(flagged)
     known, new = flagged.filter("is_known"), flagged.filter("not is_known")
     if not dry_run:
         seen.append(known, run_seq, run_date, "known")
 
     if page_texts is not None:
         lacking = lacks_description(F.col("source"), F.col("description"))
-        new_full = enrich_descriptions(new.filter(lacking), page_texts, hot).unionByName(
+        new_full = enrich_descriptions(new.filter(lacking), page_texts).unionByName(
             new.filter(~lacking)
         )
     else:
         new_full = new
-    scored = score_postings(new_full, employers, targets, min_hot_rows=hot, **scoring)
+    scored = score_postings(new_full, employers, targets, **scoring)
     retained = materialize(retain(scored, min_score, min_score_tier1), "retained")
 
     published = None
     if not dry_run:
-        published = offers.append(retained, run_seq, run_date, hot)
+        published = offers.append(retained, run_seq, run_date)
         seen.append(new, run_seq, run_date, "new")
 
     known_flag = F.col("is_known")
@@ -89,6 +87,6 @@ def daily_run(
         retained=retained,
         published=published,
         touched=touched_employers(retained),
-        stats=source_stats(kept, sources, errored),
+        stats=source_stats(flagged, sources, errored),
         report=daily_report(merge_rows(*totals), retained),
     )

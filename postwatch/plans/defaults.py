@@ -127,7 +127,6 @@ BOARD_SITES = {
 }
 RECENCY_DAYS = 3
 RECENCY_HOURS = 48
-SOURCE_CAPS = {"france_travail": 1500, "apec_rss": 200, "careers_site": 1000}
 
 TRACKER_STATUSES = [
     "À cibler", "Offre repérée", "Candidature envoyée", "En cours",
@@ -136,4 +135,3 @@ TRACKER_STATUSES = [
 NAV_LABELS = [
     "lire la suite", "en savoir plus", "read more", "voir l'offre", "postuler", "candidater",
 ]
-MAX_PAGE_TEXT = 20_000

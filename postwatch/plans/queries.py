@@ -81,10 +81,10 @@ def match_sql(companies: str, employers: str) -> str:
 
 SUPPLIER_EMPLOYERS = """
   SELECT CAST(s_suppkey AS INT) AS ord, s_name AS name, CAST(s_suppkey % 3 + 1 AS INT) AS tier,
-         'Maison ' || s_name AS alias FROM supplier WHERE s_acctbal > 0"""
+         'Maison ' || s_name AS alias FROM supplier"""
 SEGMENT_EMPLOYERS = """
   SELECT CAST(c_custkey AS INT) AS ord, c_name AS name, CAST(c_custkey % 3 + 1 AS INT) AS tier,
-         'Maison ' || c_name AS alias FROM customer WHERE c_mktsegment = 'BUILDING'"""
+         'Maison ' || c_name AS alias FROM customer"""
 TIER_SQL = "CASE employer_tier WHEN 1 THEN 100 WHEN 2 THEN 80 WHEN 3 THEN 60 ELSE 50 END"
 
 HARD = {r"\bthe\b": 15, r"\bque\b": 20, r"\bder\b": 10, r"\b(?:los|las)\b": 12, r"\bof the\b": 10,
@@ -572,7 +572,7 @@ def offer_rows(spark: SparkSession, sf: str) -> DataFrame:
 PUBLISHED = """
   SELECT 'Groupe ' || s.s_name || ' (P1) — relu' AS employer, p.p_name AS title,
          'https://jobs.example.org/' || CAST(p.p_partkey * 7 AS STRING) AS url
-  FROM part p JOIN supplier s ON s.s_suppkey = p.p_partkey % 10
+  FROM part p JOIN supplier s ON s.s_suppkey = p.p_partkey % (SELECT count(*) FROM supplier )
   WHERE p.p_size > 25"""
 FRESH_SQL = f"""o AS ({PUBLISHED}),
   f AS (SELECT *, {clean_sql('company')} AS ce, {norm('title')} AS nt FROM v

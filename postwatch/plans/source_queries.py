@@ -91,13 +91,14 @@ TEXT_SQL = r"""x AS (SELECT page_id, url, array_to_string(list_filter(list_trans
 
 @query(f"WITH {TEXT_SQL} SELECT page_id AS page_seq, page_text FROM t")
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.page_text(_listings(spark, sf), max_chars=None).select("page_seq", "page_text")
+    return pages.page_text(_listings(spark, sf)).select("page_seq", "page_text")
 
 
 PAGE_POSTINGS = """
   SELECT p.url, d.source, CASE d.doc_id % 3 WHEN 0 THEN 'Lyon' ELSE '' END AS location,
          CASE WHEN d.doc_id % 2 = 0 THEN d.text END AS description, d.doc_id AS ingest_seq
-  FROM documents d JOIN pages p ON p.page_id = d.doc_id % 400"""
+  FROM documents d CROSS JOIN (SELECT count(*) AS n FROM pages ) k
+    LEFT JOIN pages p ON p.page_id = d.doc_id % k.n"""
 
 
 def place_sql(text: str) -> str:
@@ -118,7 +119,7 @@ ENRICHED_SQL = f"""WITH {TEXT_SQL}, v AS ({PAGE_POSTINGS}),
 
 def _enriched(spark: SparkSession, sf: str) -> DataFrame:
     postings = views.view(spark, sf, PAGE_POSTINGS + " ", "documents", "pages")
-    texts = pages.page_text(_listings(spark, sf), max_chars=None)
+    texts = pages.page_text(_listings(spark, sf))
     return pages.enrich_descriptions(postings, texts)
 
 
@@ -127,11 +128,10 @@ def enriched_postings(spark: SparkSession, sf: str) -> DataFrame:
     return _enriched(spark, sf).select("ingest_seq", "url", "description", "location")
 
 
-@query("SELECT count(*) FILTER (WHERE d.doc_id % 2 = 0) AS enriched, count(*) AS candidates "
-       "FROM documents d JOIN pages p ON p.page_id = d.doc_id % 400")
+@query(ENRICHED_SQL + """ SELECT count(*) FILTER (WHERE coalesce(description, '') <> '') AS enriched,
+    count(*) AS candidates FROM e""")
 def enrichment_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.enrichment_rate(
-        views.view(spark, sf, PAGE_POSTINGS + " ", "documents", "pages"))
+    return stats.enrichment_rate(_enriched(spark, sf))
 
 
 PLACED = """
@@ -285,9 +285,9 @@ PUBLIC_URL = "'https://candidat.francetravail.fr/offres/recherche/detail/' || "
     salary_min="CASE WHEN CAST(price AS INT) BETWEEN 15 AND 200 THEN CAST(price AS INT) END",
     remote_pct="CASE WHEN nk % 2 = 0 THEN 100 END", description="'texte'",
     url=f"CASE WHEN st = 'F' THEN 'https://o/' || id ELSE {PUBLIC_URL} id END", posted_at="d",
-    ingest_seq="page_seq * 65536") + " UNION ALL " + public_sql(
+    ingest_seq="page_seq * 1048576") + " UNION ALL " + public_sql(
     "b WHERE st = 'O'", external_id="'x' || id", title="'(sans titre)'", company="'Anonyme'",
-    location="''", url=f"{PUBLIC_URL} 'x' || id", ingest_seq="page_seq * 65536 + 1"
+    location="''", url=f"{PUBLIC_URL} 'x' || id", ingest_seq="page_seq * 1048576 + 1"
 ).replace("WITH b AS (" + BASE + ") ", ""))
 def public_employment_offers(spark: SparkSession, sf: str) -> DataFrame:
     return public(payloads.map_public_employment_offers(_landed(spark, sf, EMPLOYMENT_BODY)))
@@ -315,7 +315,7 @@ EXEC_PAY = """list_filter([CAST(price AS INT), 90], lambda x: x BETWEEN 15 AND 2
     salary_min=f"list_min({EXEC_PAY})",
     salary_max=f"CASE WHEN len({EXEC_PAY}) > 1 THEN list_max({EXEC_PAY}) END",
     url=f"'https://www.apec.fr/candidat/recherche-emploi.html/emploi/detail-offre/' || {EXEC_ID}",
-    posted_at="d", ingest_seq="page_seq * 65536"))
+    posted_at="d", ingest_seq="page_seq * 1048576"))
 def exec_offers(spark: SparkSession, sf: str) -> DataFrame:
     return public(payloads.map_exec_offers(_landed(spark, sf, EXEC_BODY)))
 
@@ -343,7 +343,7 @@ CONTENT_ZONE = "(nk % 5 IN (0, 3) OR nk = 4 OR nk = 9)"
     location="coalesce(nullif(city, ''), 'Remote') || ', France'",
     remote_pct="CASE WHEN nk = 9 THEN 100 END",
     url="'https://jobs.smartrecruiters.com/Slug/' || id", posted_at="d",
-    ingest_seq="page_seq * 65536"))
+    ingest_seq="page_seq * 1048576"))
 def ats_smartrecruiters(spark: SparkSession, sf: str) -> DataFrame:
     return public(payloads.map_ats_smartrecruiters(_landed(spark, sf, CONTENT_BODY)))
 
@@ -357,12 +357,12 @@ FEED_BODY = """struct(array(
 @query(public_sql(
     "b WHERE st <> 'P'", external_id="CASE WHEN nk % 2 = 0 THEN id ELSE 'https://t/' || id END",
     title="'Poste ' || id", company="seg", location="''", description="'Un ' || name || ' texte'",
-    url="'https://t/' || id", posted_at="d", ingest_seq="page_seq * 65536"))
+    url="'https://t/' || id", posted_at="d", ingest_seq="page_seq * 1048576"))
 def ats_teamtailor(spark: SparkSession, sf: str) -> DataFrame:
     return public(payloads.map_ats_teamtailor(_landed(spark, sf, FEED_BODY)))
 
 
-@query(f"""WITH b AS ({BASE}) SELECT page_seq * 65536 AS ingest_seq,
+@query(f"""WITH b AS ({BASE}) SELECT page_seq * 1048576 AS ingest_seq,
   '{{' || CASE WHEN nk % 2 = 0 THEN '"id":"' || id || '",' ELSE '' END || '"url":"https://t/' || id
   || '","title":"Poste ' || id || '","date_published":"' || day || '"}}' AS raw
   FROM b WHERE st <> 'P'""")
@@ -379,7 +379,7 @@ JOBS_BODY = """struct(array(
 @query(public_sql(
     "b WHERE nk % 5 IN (0, 2, 3) AND st <> 'P'", external_id="id", title="'Poste ' || id",
     company="seg", location="city", remote_pct="CASE WHEN nk % 5 = 2 THEN 100 END",
-    url="'https://g/' || id", posted_at="d", ingest_seq="page_seq * 65536"))
+    url="'https://g/' || id", posted_at="d", ingest_seq="page_seq * 1048576"))
 def ats_greenhouse(spark: SparkSession, sf: str) -> DataFrame:
     return public(payloads.map_ats_greenhouse(_landed(spark, sf, JOBS_BODY)))
 
@@ -395,7 +395,7 @@ ARRAY_BODY = """array(
     "b WHERE nk % 5 IN (0, 2, 3)", external_id="id", title="'Poste ' || id", company="seg",
     location="city", remote_pct="CASE WHEN nk % 5 = 2 THEN 100 END", description="name",
     url="'https://l/' || id", posted_at="CASE WHEN st <> 'O' THEN d END",
-    ingest_seq="page_seq * 65536"))
+    ingest_seq="page_seq * 1048576"))
 def ats_lever(spark: SparkSession, sf: str) -> DataFrame:
     return public(payloads.map_ats_lever(_landed(spark, sf, ARRAY_BODY)))
 
@@ -407,7 +407,7 @@ def job_ad_text(spark: SparkSession, sf: str) -> DataFrame:
       'b', struct(CASE WHEN st = 'F' THEN '' ELSE '<i>deux</i> ' || seg END as text)) as sections)
       as jobAd))"""
     return pages.job_ad_text(
-        _base(spark, sf).selectExpr("id as url", f"{body} as body"), max_chars=None)
+        _base(spark, sf).selectExpr("id as url", f"{body} as body"))
 
 
 @query(f"""WITH b AS ({BASE})
@@ -433,12 +433,12 @@ def source_dispatch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH b AS ({BASE})
-  SELECT 0 * 281474976710656 + page_seq AS ingest_seq, 'jobspy_indeed' AS source, 'https://b/' || id AS url
+  SELECT 0 * 1152921504606846976 + page_seq AS ingest_seq, 'jobspy_indeed' AS source, 'https://b/' || id AS url
   FROM b WHERE nk % 7 <> 0
-  UNION ALL SELECT 2 * 281474976710656 + page_seq * 65536, 'apec_rss',
+  UNION ALL SELECT 2 * 1152921504606846976 + page_seq * 1048576, 'apec_rss',
     'https://www.apec.fr/candidat/recherche-emploi.html/emploi/detail-offre/' || {EXEC_ID}
   FROM b WHERE {EXEC_ID} IS NOT NULL AND {EXEC_TITLED} AND {EXEC_ZONE}
-  UNION ALL SELECT 3 * 281474976710656 + page_seq * 65536, 'careers_site', 'https://g/' || id
+  UNION ALL SELECT 3 * 1152921504606846976 + page_seq * 1048576, 'careers_site', 'https://g/' || id
   FROM b WHERE nk % 5 IN (0, 2, 3) AND st <> 'P'""")
 def union_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Three sources in fixed order and one that fails, which leaves the others alone."""

@@ -38,8 +38,8 @@ DOC_POSTINGS = """
          CAST(NULL AS STRING) AS raw,
          d.doc_id AS ingest_seq
   FROM documents d JOIN part p ON p.p_partkey = d.doc_id
-       JOIN supplier s ON s.s_suppkey = d.doc_id % 10
-       JOIN nation n ON n.n_nationkey = d.doc_id % 25
+       JOIN supplier s ON s.s_suppkey = d.doc_id % (SELECT count(*) FROM supplier )
+       JOIN nation n ON n.n_nationkey = d.doc_id % (SELECT count(*) FROM nation )
 """
 
 # Orders as postings: many rows and companies, no texts.
@@ -67,7 +67,7 @@ ORDER_POSTINGS = """
          CAST(NULL AS STRING) AS raw,
          o.o_orderkey AS ingest_seq
   FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
-       JOIN part p ON p.p_partkey = o.o_orderkey % 200
+       JOIN part p ON p.p_partkey = o.o_orderkey % (SELECT count(*) FROM part )
 """
 
 # Events as the run-by-run feed: one run per day, a fingerprint per user and event type.
@@ -119,8 +119,8 @@ def event_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_employers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers in credit as the employer dimension."""
-    return table(spark, sf_dir, "supplier").filter("s_acctbal > 0").selectExpr(
+    """Suppliers as the employer dimension."""
+    return table(spark, sf_dir, "supplier").selectExpr(
         "cast(s_suppkey as int) as ord", "s_name as name", "cast(s_suppkey % 3 + 1 as int) as tier",
         "cast(null as string) as sector", "cast(null as string) as careers_url",
         "array(concat('Maison ', s_name)) as aliases", "cast(null as string) as ats",
@@ -129,8 +129,8 @@ def supplier_employers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_employers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of one segment as a larger employer dimension."""
-    return table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").selectExpr(
+    """Customers as a larger employer dimension."""
+    return table(spark, sf_dir, "customer").selectExpr(
         "cast(c_custkey as int) as ord", "c_name as name", "cast(c_custkey % 3 + 1 as int) as tier",
         "cast(null as string) as sector", "cast(null as string) as careers_url",
         "array('Maison ' || c_name) as aliases", "cast(null as string) as ats",

@@ -64,7 +64,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a table out over the cluster when it has fewer splits than there are cores, before
-    work that costs far more than reading.  A large table is left alone: no shuffle."""
+    """Deal a table out over the cluster when it has fewer files than there are cores, before
+    work that costs far more than reading.  A table of many files is left alone: no shuffle.
+    Only the file list is looked at: no job runs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)

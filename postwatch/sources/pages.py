@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from postwatch.functions.dates import french_date, slash_date
 from postwatch.functions.labels import title_from_slug, url_path
+from postwatch.functions.order import page_order
 from postwatch.functions.places import place_from_text
 from postwatch.operators.dedup import keep_first
-from postwatch.operators.skew import HOT_ROWS, salted_join
+from postwatch.operators.skew import salted_join
 from postwatch.plans import defaults
 from postwatch.schema import JOB_AD
 from postwatch.sources.html import (
@@ -20,7 +21,6 @@ from postwatch.sources.html import (
 )
 
 MIN_TITLE = 8
-SEQ_PER_PAGE = 1 << 20
 
 
 def flat_pages(pages: DataFrame) -> DataFrame:
@@ -28,33 +28,38 @@ def flat_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("n", html_nodes(F.col("url"), F.col("html"))).drop("html")
 
 
-def page_links(flat: DataFrame) -> DataFrame:
+def page_links(flat: DataFrame, where: str = "true") -> DataFrame:
     """One row per link: pos, href (as written), link_url (resolved), link_text, heading (for a
     link without text, the first one in the nearest of three ancestors that has any) and block
     (text around the link, one line per text).  The rules run inside the page's row, so nothing
-    is shuffled."""
+    is shuffled.  where: SQL over n and i, the link's place; other links are dropped before any
+    text is built."""
     heading = f"""
         get(filter(transform({sql_ancestors('l.pos', 3)}, a -> {sql_heading_in('a')}),
                    h -> h is not null), 0)"""
     links = f"""
         transform(
-          filter(sequence(0, size(n.tag) - 1), i -> n.tag[i] = 'a'),
+          filter(sequence(0, size(n.tag) - 1), i -> n.tag[i] = 'a' and {where}),
           i -> struct(i as pos, n.href[i] as href, n.url[i] as link_url,
                       {sql_text('i', '')} as link_text, {sql_block('i')} as b))"""
     with_heading = f"""
         transform(links, l -> struct(l.pos, l.href, l.link_url, l.link_text, l.b,
                                      if(l.link_text = '', {heading}, null) as h))"""
-    text_of = f"""
-        transform(links, l -> struct(
-          l.pos, l.href, l.link_url, l.link_text,
-          if(l.h is null, null, {sql_text('l.h', '')}) as heading,
-          {sql_text('l.b', chr(92) + 'n')} as block))"""
+    # One text per distinct block, with the links in it: the page's row stays linear in the page.
+    by_block = f"""
+        transform(array_distinct(transform(links, l -> l.b)), b -> struct(
+          {sql_text('b', chr(92) + 'n')} as block,
+          transform(filter(links, l -> l.b = b), l -> struct(
+            l.pos, l.href, l.link_url, l.link_text,
+            if(l.h is null, null, {sql_text('l.h', '')}) as heading)) as held))"""
+    kept = [c for c in flat.columns if c != "n"]
     return (
         flat.withColumn("links", F.expr(links))
         .withColumn("links", F.expr(with_heading))
-        .withColumn("links", F.expr(text_of))
+        .withColumn("links", F.expr(by_block))
         .drop("n")
-        .select(*[c for c in flat.columns if c != "n"], F.inline("links"))
+        .select(*kept, F.inline("links"))
+        .select(*kept, F.inline("held"), "block")
     )
 
 
@@ -118,15 +123,24 @@ def _posting(links: DataFrame, **columns: Column) -> DataFrame:
         "url": F.col("link_url"),
         "posted_at": empty.cast("date"),
         "raw": F.to_json(F.struct("employer", F.substring("block", 1, 500).alias("block"))),
-        "ingest_seq": F.col("page_seq") * SEQ_PER_PAGE + F.col("pos"),
+        "ingest_seq": page_order(F.col("page_seq"), F.col("pos")),
         **columns,
     }
     return links.select(*[c.alias(n) for n, c in values.items()])
 
 
+def sql_string(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def matched_links(flat: DataFrame, listing: Listing) -> DataFrame:
     """Links that belong to the listing, with link_url as kept and link_title (maybe '')."""
-    links = page_links(flat).filter("link_url is not null")
+    where = "n.url[i] is not null"
+    if listing.url_marker is None:
+        where += r" and contains(split(n.url[i], '\\?')[0], link_pattern)"
+    else:
+        where += f" and contains(n.href[i], {sql_string(listing.url_marker)})"
+    links = page_links(flat, where)
     if listing.url_marker is None:
         links = links.withColumn("link_url", F.split("link_url", r"\?")[0]).filter(
             F.col("link_url").contains(F.col("link_pattern"))
@@ -161,8 +175,7 @@ def harvest_links(flat: DataFrame, listing: Listing = GENERIC) -> DataFrame:
     links = links.filter(
         F.length("link_title") >= (MIN_TITLE if listing.title_fallback else 1)
     )
-    seq = "page_seq", "pos"
-    links = links.withColumn("_seq", F.col(seq[0]) * SEQ_PER_PAGE + F.col(seq[1]))
+    links = links.withColumn("_seq", page_order(F.col("page_seq"), F.col("pos")))
     contract = first_contract(F.col("block"), list(listing.contracts), listing.ignore_case)
     links = links.withColumn("_contract", contract)
     if listing.keep_contracts is not None:
@@ -216,7 +229,7 @@ def harvest_containers(flat: DataFrame, marker: str, location: str,
               if(c.h is null, '', {sql_text('c.h', '')}) as heading))"""))
         .select(*[c for c in flat.columns if c != "n"], F.inline("cards"))
         .filter("link_url is not null")
-        .withColumn("_seq", F.col("page_seq") * SEQ_PER_PAGE + F.col("pos"))
+        .withColumn("_seq", page_order(F.col("page_seq"), F.col("pos")))
     )
     cards = keep_first(cards, ["page_seq", "link_url"], "_seq")
     text = F.col("link_text")
@@ -274,7 +287,7 @@ def harvest_diagnostics(flat: DataFrame, listing: Listing = GENERIC, marker: str
     )
 
 
-def page_text(flat: DataFrame, max_chars: int | None = defaults.MAX_PAGE_TEXT) -> DataFrame:
+def page_text(flat: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(url, page_text): text of the first main, else the first article, else the body."""
     text = F.expr(MAIN_TEXT)
     if max_chars is not None:
@@ -284,7 +297,7 @@ def page_text(flat: DataFrame, max_chars: int | None = defaults.MAX_PAGE_TEXT) -
 
 
 def job_ad_text(payloads: DataFrame, body: str = "body",
-                max_chars: int | None = defaults.MAX_PAGE_TEXT) -> DataFrame:
+                max_chars: int | None = None) -> DataFrame:
     """page_text of posting-detail payloads: the texts of all sections, in payload order."""
     sections = F.map_values(F.from_json(F.col(body), JOB_AD)["jobAd"]["sections"])
     joined = F.array_join(
@@ -297,8 +310,7 @@ def job_ad_text(payloads: DataFrame, body: str = "body",
     return flat.withColumn("page_text", F.nullif(text, F.lit(""))).drop("n")
 
 
-def enrich_descriptions(postings: DataFrame, texts: DataFrame,
-                        min_hot_rows: float = HOT_ROWS) -> DataFrame:
+def enrich_descriptions(postings: DataFrame, texts: DataFrame) -> DataFrame:
     """Description := page text of the posting's url, and a blank location := the place that text
     names.  Postings without a page keep what they have.  texts: one row per url, or with
     page_seq, of which the first page of a url counts."""
@@ -306,7 +318,6 @@ def enrich_descriptions(postings: DataFrame, texts: DataFrame,
         texts = keep_first(texts, ["url"], "page_seq")
     found = salted_join(
         postings, texts.select("url", "page_text"), ["url"], "left", F.col("ingest_seq"),
-        min_hot_rows,
     ).withColumn("_low", F.lower("page_text"))
     described = F.coalesce("page_text", "description")
     blank = (F.col("location") == "") & F.col("page_text").isNotNull()

@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from postwatch import schema
 from postwatch.functions import dates, labels, numbers, places
+from postwatch.functions.order import page_order
 from postwatch.functions.text import clean, or_default, strip
 from postwatch.plans import defaults
 from postwatch.schema import POSTING_COLUMNS
 from postwatch.sources.html import html_nodes, sql_text
 
-ITEMS_PER_PAGE = 1 << 16
-
 
 def _blank(col: Column) -> Column:
     return F.coalesce(col, F.lit("")) == ""
@@ -47,7 +46,7 @@ def parse_pages(pages: DataFrame, page_schema: str, items: str | None) -> DataFr
     array = F.col("_page") if items is None else F.col("_page")[items]
     keep = [c for c in parsed.columns if c != "_page"]
     return parsed.select(*keep, F.posexplode(array).alias("_pos", "item")).withColumn(
-        "ingest_seq", F.col("page_seq") * ITEMS_PER_PAGE + F.col("_pos")
+        "ingest_seq", page_order(F.col("page_seq"), F.col("_pos"))
     )
 
 

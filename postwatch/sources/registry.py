@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwatch.functions.labels import url_host
+from postwatch.functions.order import source_order
 from postwatch.operators.dedup import keep_first
 from postwatch.operators.filters import check_sources
 from postwatch.plans import defaults
@@ -17,7 +18,6 @@ from postwatch.session import materialize, scratch_path
 from postwatch.sources import pages, payloads
 
 log = logging.getLogger(__name__)
-SOURCE_SHIFT = 48
 NO_MAPPER = "none"
 
 Mapper = Callable[[DataFrame], DataFrame]
@@ -89,9 +89,7 @@ def union_sources(sources: dict[str, DataFrame | Callable[[], DataFrame]],
         try:
             source = sources[name]
             df = source() if callable(source) else source
-            df = df.withColumn(
-                "ingest_seq", F.lit(rank).cast("bigint") * (1 << SOURCE_SHIFT) + F.col("ingest_seq")
-            )
+            df = df.withColumn("ingest_seq", source_order(rank, F.col("ingest_seq")))
             done.append(materialize(df, f"silver-{name}") if isolate else df)
         except Exception as error:  # noqa: BLE001 - any failure of one source is reported
             if not isolate:

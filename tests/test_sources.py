@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from postwatch.functions import order
 from postwatch.plans import defaults
 from postwatch.schema import BOARD_ROWS, POSTING_COLUMNS, names
 from postwatch.sources import dims, pages, payloads, registry
@@ -56,7 +57,7 @@ def test_public_employment(spark):
         spark.createDataFrame([(3, json.dumps(page)), (4, "<html>"), (5, "{}")], BODY))
     a, b = rows(mapped)
     assert (a.url, a.salary_min, a.salary_max, a.remote_pct, a.ingest_seq) == (
-        "https://o/A1", 55, 65, 100, 3 * payloads.ITEMS_PER_PAGE)
+        "https://o/A1", 55, 65, 100, 3 << order.ITEM_BITS)
     assert (b.external_id, b.url, b.title, b.company, b.location, b.remote_pct) == (
         "12", "https://candidat.francetravail.fr/offres/recherche/detail/12", "(sans titre)",
         "Anonyme", "", None)
@@ -218,7 +219,8 @@ def test_page_text(spark, html, want):
 
 def test_page_text_limit(spark):
     df = flat(spark, f"<main>{'x' * 30000}</main>")
-    assert len(pages.page_text(df).first().page_text) == defaults.MAX_PAGE_TEXT
+    assert len(pages.page_text(df, max_chars=20_000).first().page_text) == 20_000
+    assert len(pages.page_text(df).first().page_text) > 20_000
     assert len(pages.page_text(df, None).first().page_text) == 30000
 
 
@@ -295,7 +297,7 @@ def test_union_sources(spark):
         F.raise_error(F.lit("boom")).alias("source"), "ingest_seq")
     union, errors = registry.union_sources({"apec": one, "jobspy": one})
     ranks = sorted(r.ingest_seq for r in union.collect())
-    assert ranks == [5, (2 << registry.SOURCE_SHIFT) + 5] and errors == {}
+    assert ranks == [5, (2 << order.SOURCE_BITS) + 5] and errors == {}
     union, errors = registry.union_sources({"apec": bad, "jobspy": one}, isolate=True)
     assert union.count() == 1 and "boom" in errors["apec"]
     with pytest.raises(ValueError):
