@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postwatch.operators.skew import PARTS, salted_join
 from postwatch.session import materialize
 
 #: The ASCII white space that separates words, as the text of a character class.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Ids up to this count (8 MB of longs) may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Parts over which the rows of one key are dealt in spread_join.
-PARTS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -25,14 +24,9 @@ def text_or_empty(text: str | Column) -> Column:
 
 def spread_join(facts: DataFrame, dim: DataFrame, keys: list[str], by: list[str],
                 how: str = "inner", parts: int = PARTS) -> DataFrame:
-    """facts joined to dim (one row a key, no null keys) when one key may hold most of the facts.
-
-    Each key's facts are dealt over `parts` by a hash of the columns `by`; dim rows are copied only
-    to the parts in which their key has facts.  facts is evaluated twice: give a written table.
-    """
-    salted = facts.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
-    placed = salted.select(*keys, "_part").distinct().join(dim, keys)
-    return salted.join(placed, [*keys, "_part"], how).drop("_part")
+    """facts joined to dim (one row a key) when one key may hold most of the facts, which are dealt
+    over parts by the columns `by`.  facts is evaluated twice: give a written table."""
+    return salted_join(facts, dim, keys, how, F.struct(*by), parts)
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
