@@ -302,3 +302,55 @@ def test_union_sources(spark):
     assert union.count() == 1 and "boom" in errors["apec"]
     with pytest.raises(ValueError):
         registry.union_sources({"nope": one})
+
+
+def test_dispatch_keeps_the_first_page_over_all_mappers(spark):
+    """HTML page 1 and JSON page 2 share a url: the first page's employer keeps it, and order
+    numbers of different mappers never meet."""
+    html = ('<body><li><h3>Data Engineer Nantes</h3><a href="https://g/1">Data Engineer CDI</a>'
+            '</li></body>')
+    jobs = json.dumps({"jobs": [{"id": "1", "title": "Data Engineer", "absolute_url": "https://g/1",
+                                 "location": {"name": "Nantes"}},
+                                {"id": "2", "title": "Data Analyst", "absolute_url": "https://g/2",
+                                 "location": {"name": "Nantes"}}]})
+    landed = spark.createDataFrame(
+        [(1, "First", "https://g/list", "ssr", "/g/", html),
+         (2, "Second", "https://boards/x", "greenhouse", None, jobs),
+         (48, "Third", "https://boards/y", "greenhouse", None,
+          jobs.replace("https://g", "https://h"))],
+        "page_seq long, employer string, careers_url string, ats string, link_pattern string, "
+        "body string")
+    postings, _ = registry.dispatch_career_pages(landed)
+    got = postings.orderBy("ingest_seq").collect()
+    assert [(r.company, r.url) for r in got] == [
+        ("First", "https://g/1"), ("Second", "https://g/2"), ("Third", "https://h/1"),
+        ("Third", "https://h/2")]
+    assert len({r.ingest_seq for r in got}) == 4
+
+
+def test_order_numbers_that_do_not_fit_are_errors(spark):
+    df = spark.createDataFrame([(1, 5)], "page long, pos int")
+    number = order.page_order(F.col("page"), F.col("pos"))
+    assert df.select(number).first()[0] == (1 << order.ITEM_BITS) + 5
+    for page, pos in ((1 << 40, 0), (1, 1 << 20), (-1, 0)):
+        with pytest.raises(Exception, match="out of order numbers"):
+            df.select(order.page_order(F.lit(page), F.lit(pos))).collect()
+    with pytest.raises(ValueError):
+        order.source_order(8, F.lit(1))
+
+
+def test_a_posting_without_title_is_kept(spark):
+    from postwatch.operators import filters
+
+    df = spark.createDataFrame([("CDI", None), (None, None), ("CDD", None)],
+                               "contract_type string, title string")
+    assert filters.exclude_contracts(df).count() == 2
+
+
+def test_blocks_of_many_links_stay_linear(spark):
+    """800 links in one list: one block text, not one per link and page size."""
+    page = "<body><ul>" + "".join(f"<a href='/e/{i}'>Job number {i} CDI</a>" for i in range(800))
+    df = flat(spark, page + "</ul></body>")
+    rows_ = pages.page_links(df).count()
+    assert rows_ == 800
+    assert pages.page_links(df, "contains(n.href[i], '/e/7')").count() == 111
