@@ -10,9 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postwatch.llm.common import table, text_or_empty
 from postwatch.llm.tokens import tokenizer, vocabulary_path, word_encoder
@@ -21,8 +20,11 @@ from postwatch.llm.tokens import tokenizer, vocabulary_path, word_encoder
 LEAF = 32_768
 #: Tokens on each side of a join that are encoded again first; doubled until both sides agree.
 MARGIN = 8
+#: Texts whose results are held at a time.
+SLICE = 256
 BLANK = frozenset(" \t\n\x0b\x0c\r")
 LEAF_FIELDS = "uid long, doc_id long, leaf int, text string"
+CODED = "doc_id long, ids array<int>, decoded string"
 CODE_FIELDS = LEAF_FIELDS + ", codes binary"
 
 
@@ -198,21 +200,23 @@ def tree_encoder(path: str) -> TreeEncoder:
     return TreeEncoder(path)
 
 
-def encode_whole(path: str) -> Column:
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([x.astype("int32") for x in word_encoder(path).encode_all(texts)])
-
-    return ids
+def _encode_short(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = word_encoder(path)
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):  # so that no task holds a batch of results
+                part = batch.iloc[at:at + SLICE]
+                ids = [x.astype("int32") for x in encoder.encode_all(part["text"])]
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": ids,
+                                    "decoded": decode(ids, path)})
 
+    return run
 
-def decode(path: str) -> Column:
-    @F.pandas_udf(T.StringType())
-    def text(ids: pd.Series) -> pd.Series:
-        return pd.Series(tokenizer(path).decode_batch([x.tolist() for x in ids],
-                                                      skip_special_tokens=False))
 
-    return text
+def decode(ids: list[np.ndarray], path: str) -> list[str]:
+    """Texts of ids, special tokens included, as the library decodes them."""
+    one = tokenizer(path).decode
+    return [one(x.tolist(), skip_special_tokens=False) for x in ids]
 
 
 def _split(path: str, leaf: int):
@@ -242,16 +246,17 @@ def _join_leaves(path: str, margin: int):
         rows = rows.sort_values("leaf")
         parts = [Encoded.unpacked(t, codes) for t, codes in zip(rows["text"], rows["codes"])]
         whole = tree_encoder(path).tree(parts, margin)
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].astype("Int64"),
-                             "ids": [whole.ids.astype("int32")]})
+        ids = [whole.ids.astype("int32")]
+        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].astype("Int64").array, "ids": ids,
+                             "decoded": decode(ids, path)})
 
     return join
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None,
            leaf: int = LEAF, margin: int = MARGIN) -> DataFrame:
-    """One row per row of docs: doc_id, ids array<int>, as the tokenizers library encodes the
-    whole text without special tokens added.
+    """One row per row of docs: doc_id, ids array<int>, decoded, as the tokenizers library encodes
+    the whole text without special tokens added, and decodes those ids.
 
     A text of at most `leaf` code points is encoded where it is read.  A longer one is halved,
     white space or not; its leaves are dealt over the cluster and encoded, and one task per text
@@ -263,14 +268,13 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     path = vocabulary_path(path)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                        text_or_empty(text).alias("text"))
-    short = rows.where(F.length("text") <= leaf).select("doc_id",
-                                                        encode_whole(path)("text").alias("ids"))
+    short = rows.where(F.length("text") <= leaf).mapInPandas(_encode_short(path), CODED)
     long = (rows.where(F.length("text") > leaf)
             .select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
             .mapInPandas(_split(path, leaf), LEAF_FIELDS)
             .repartition("uid", "leaf").mapInPandas(_encode_leaves(path), CODE_FIELDS)
             .groupBy("uid")
-            .applyInPandas(_join_leaves(path, margin), "doc_id long, ids array<int>"))
+            .applyInPandas(_join_leaves(path, margin), CODED))
     return short.unionByName(long)
 
 
@@ -279,4 +283,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(listed, 256).alias("ids_sha256"),
-                        F.sha2(decode(vocabulary_path())("ids"), 256).alias("decoded_sha256"))
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
