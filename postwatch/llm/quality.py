@@ -18,7 +18,7 @@ MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of words in repeated windows
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-#: A line found in more kinds of documents of one host than this is removed.
+#: A line found in more documents of one host than this is removed.
 LINE_LIMIT = 100
 #: A document is depleted when less than this share of its characters is left.
 MIN_LEFT = 0.2
@@ -93,9 +93,9 @@ def base_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """Keys of lines (uid, key, kind) in more than `limit` kinds of documents; one count per
-    (key, kind), combined before its shuffle, then one per key."""
-    return (lines.groupBy("key", "kind").agg(F.lit(1).alias("_one")).groupBy("key")
+    """Keys of lines (key, whole) in more than `limit` different documents; one count per
+    (key, whole), combined before its shuffle, then one per key."""
+    return (lines.groupBy("key", "whole").agg(F.lit(1).alias("_one")).groupBy("key")
             .agg(F.count("*").alias("documents")).where(F.col("documents") > limit))
 
 
@@ -104,10 +104,9 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   min_left: float = MIN_LEFT) -> DataFrame:
     """One row per row of docs: the base counts, base_failed, removed_chars and kept.
 
-    Lines are hashed per host.  Documents are counted by kind, which is the smallest line hash
-    among a document's other lines: exact and near copies of one document share it and count about
-    once, so that a text with many copies is left to the dedup stages, while a footer stands beside
-    many different lines.  Lines of more than `limit` kinds are removed; a document that keeps less
+    Lines are hashed per host.  Lines in more than `limit` different documents of their host are
+    removed.  Only documents that are the same as a whole (equal lines in the same order) count
+    once, so that a text with many copies is left to the dedup stages.  A document that keeps less
     than `min_left` of its characters is depleted and rejected, as is one that fails a base rule.
 
     A null text counts as empty and fails; a null host is a host; a null doc_id is reported as null;
@@ -116,13 +115,9 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = base_rules(docs, doc_id, text, host).withColumn(
         "uid", F.monotonically_increasing_id())
     base = materialize(base, "quality-base")
-    hashes = F.array_sort(F.array_distinct("lines.key"))
-    kinds = base.select("uid", "lines", F.get(hashes, F.lit(0)).alias("_first"),
-                        F.get(hashes, F.lit(1)).alias("_second"))
-    lines = kinds.select("uid", F.explode("lines").alias("line"), "_first", "_second").select(
-        "uid", "line.key", "line.chars",
-        F.when(F.col("line.key") == F.col("_first"), F.col("_second"))
-        .otherwise(F.col("_first")).alias("kind"))
+    lines = base.select("uid", F.explode("lines").alias("line"),
+                        F.xxhash64("lines.key").alias("whole")).select(
+        "uid", "line.key", "line.chars", "whole")
     frequent = frequent_lines(lines, limit).select("key")
     removed = spread_join(lines.select("uid", "key", "chars"), frequent, ["key"], ["uid"]).groupBy(
         "uid").agg(F.sum("chars").alias("removed_chars"))
