@@ -2,7 +2,9 @@
 
 import random
 
-from postwatch.llm import quality
+from postwatch.llm import licenses, quality
+
+from test_archives_chat_packing import SF
 
 
 def removed(spark, docs):
@@ -40,3 +42,38 @@ def test_quality_limit_is_of_different_documents(spark):
     docs = [f"{line}\nown line number {i}" for i in range(quality.LINE_LIMIT)]
     assert set(removed(spark, docs * 3).values()) == {0}
     assert set(removed(spark, [*docs, line]).values()) == {size([line])}
+
+
+# Licences
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_license_notices_in_wrapped_lines(spark):
+    marks = [("", ""), ("# ", "#"), (" * ", " *"), ("// ", "//")]
+    rows, want = [], set()
+    for i, (mark, blank) in enumerate(marks):
+        for k, (text, family) in enumerate(((MIT, "mit"), (BSD, "bsd-3-clause"), (GPL, "gpl-3.0"))):
+            lines = [mark + x for x in text.split("\n")]
+            rows.append((10 * i + k, "\n".join(["Copyright by its owners", blank, *lines, blank,
+                                                "import os", "Some other words of the file"])))
+            want.add((10 * i + k, 2, family))
+    rows.append((100, "\n".join([*GPL.split("\n"), "", "Released under the MIT License.",
+                                 *BSD.split("\n"), "", "", *MIT.split("\n")])))
+    want |= {(100, 0, "gpl-3.0"), (100, 5, "mit"), (100, 6, "bsd-3-clause"), (100, 11, "mit")}
+    model = licenses.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {(r["doc_id"], r["paragraph"], r["family"]) for r in found if r["confirmed"]} == want
+    assert len(found) == len(want)
