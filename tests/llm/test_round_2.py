@@ -2,7 +2,7 @@
 
 import random
 
-from postwatch.llm import licenses, quality
+from postwatch.llm import langid, licenses, quality
 
 from test_archives_chat_packing import SF
 
@@ -77,3 +77,30 @@ def test_license_notices_in_wrapped_lines(spark):
     found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
     assert {(r["doc_id"], r["paragraph"], r["family"]) for r in found if r["confirmed"]} == want
     assert len(found) == len(want)
+
+
+# Language
+
+
+def speech(seed):
+    """A maker of texts in an invented language of one alphabet and 300 words."""
+    make = random.Random(seed)
+    parts = ["".join(make.choices("bcdfghjklmnpqrstvwxz", k=make.choice((1, 2)))) + make.choice(
+        "aeiouy") for _ in range(25)]
+    vocabulary = ["".join(make.choices(parts, k=make.choice((1, 2, 3)))) for _ in range(300)]
+    return lambda words: " ".join(make.choices(vocabulary, k=words))
+
+
+def kept_ids(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return {r["doc_id"] for r in langid.keep_known(df).collect()}
+
+
+def test_language_stage_does_not_depend_on_the_number_of_languages(spark):
+    for count in (1, 2, 12):
+        makers = [speech(i) for i in range(count)]
+        rows = [(1000 * i + j, makers[i](150), f"l{i:02}") for i in range(count) for j in range(40)]
+        noise = random.Random(5)
+        bad = [(-1 - j, "".join(noise.choices("abcdefghijklmnopqrstuvwxyz ", k=900)), None)
+               for j in range(20)]
+        assert kept_ids(spark, rows + bad) == {r[0] for r in rows}
