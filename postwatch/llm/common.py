@@ -12,6 +12,8 @@ from postwatch.session import materialize
 BLANKS = " \t\n\x0b\x0c\r"
 #: Ids up to this count (8 MB of longs) may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Column of the numbers that numbered() gives to rows.
+ROW = "_row_number"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,12 +31,19 @@ def spread_join(facts: DataFrame, dim: DataFrame, keys: list[str], by: list[str]
     return salted_join(facts, dim, keys, how, F.struct(*by), parts)
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of docs whose key is not in dropped (column key, a written table).  The ids are
-    broadcast when they are counted to be few; otherwise both sides are shuffled on the key."""
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs written once with a number for each row, ROW: what a stage decides on the number hits
+    that row only, whatever other rows have the same id or none."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str = ROW) -> DataFrame:
+    """Rows of docs (numbered) whose key is not in dropped (column key, a written table), without
+    the numbers.  The keys are broadcast when they are counted to be few; otherwise both sides are
+    shuffled on the key."""
     few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
+    return docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti").drop(ROW)
 
 
-__all__ = ["BLANKS", "BROADCAST_IDS", "PARTS", "materialize", "spread_join", "table",
-           "text_or_empty", "without"]
+__all__ = ["BLANKS", "BROADCAST_IDS", "PARTS", "ROW", "materialize", "numbered", "spread_join",
+           "table", "text_or_empty", "without"]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from postwatch.llm.common import (
     BLANKS,
+    ROW,
     materialize,
+    numbered,
     spread_join,
     table,
     text_or_empty,
@@ -24,8 +26,9 @@ def squeezed(text: str) -> Column:
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                 digest: Column | None = None, salts: int = SALTS) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, digest.
+                 digest: Column | None = None, salts: int = SALTS,
+                 row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, digest, and `row` if given.
 
     Texts are equal when they are identical after white space is deleted.  Of equal texts the one
     with the most code points stays, then the smallest doc_id.  Copies are combined within each
@@ -34,13 +37,16 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     never merges two texts.
 
     A null text counts as empty.  A null doc_id loses against any other; rows that share a doc_id
-    and a text are kept or dropped together.  Other columns are ignored.  No rows give no rows.
+    and a text are kept or dropped together, unless `row` names a column of row numbers: then the
+    smallest number of them stays, and of each group exactly one row.  Other columns are ignored.  No rows give no rows.
     `digest` replaces SHA-256 over the column `_norm`, for tests.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), squeezed(text).alias("_norm"),
-                       F.length(text_or_empty(text)).alias("_n"))
+                       F.length(text_or_empty(text)).alias("_n"),
+                       (F.col(row) if row else F.lit(0).cast("long")).alias(ROW))
     rows = rows.withColumn("digest", F.sha2("_norm", 256) if digest is None else digest)
-    best = F.max(F.struct("_n", (-F.col("doc_id")).alias("_neg"))).alias("_best")
+    best = F.max(F.struct("_n", (-F.col("doc_id")).alias("_neg"),
+                           (-F.col(ROW)).alias("_row"))).alias("_best")
     local = (rows.withColumn("_salt", F.spark_partition_id() % salts)
              .groupBy("digest", "_norm", "_salt").agg(best, F.count("*").alias("group_size")))
     merged = local.groupBy("digest", "_norm").agg(
@@ -49,25 +55,28 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = merged.groupBy("digest").agg(
         F.count("*").alias("_texts"), F.max("_best").alias("_best"),
         F.sum("group_size").alias("group_size"))
-    return _membership(rows, merged, texts)
+    out = _membership(rows, merged, texts)
+    return out.withColumnRenamed(ROW, row) if row else out.drop(ROW)
 
 
 def _membership(rows: DataFrame, merged: DataFrame, texts: DataFrame) -> DataFrame:
-    keep = (-F.col("_best._neg")).alias("keep_id")
+    keep = [(-F.col("_best._neg")).alias("keep_id"), (-F.col("_best._row")).alias("_keep_row")]
     texts = materialize(texts, "exact-digests")
-    members = materialize(rows.select("doc_id", "digest"), "exact-members")
-    out = spread_join(members, texts.where("_texts = 1").select("digest", keep, "group_size"),
-                      ["digest"], ["doc_id"])
+    members = materialize(rows.select("doc_id", "digest", ROW), "exact-members")
+    out = spread_join(members, texts.where("_texts = 1").select("digest", *keep, "group_size"),
+                      ["digest"], ["doc_id", ROW])
     shared = texts.where("_texts > 1").select("digest")
     if not shared.isEmpty():
         # Different texts with one digest: settled on the whole text.
-        again = rows.join(shared, "digest", "left_semi").select("doc_id", "digest", "_norm")
+        again = rows.join(shared, "digest", "left_semi").select(
+            "doc_id", "digest", "_norm", ROW)
         winners = merged.join(shared, "digest", "left_semi").select(
-            "digest", "_norm", keep, "group_size")
+            "digest", "_norm", *keep, "group_size")
         out = out.unionByName(
-            spread_join(again, winners, ["digest", "_norm"], ["doc_id"]).drop("_norm"))
+            spread_join(again, winners, ["digest", "_norm"], ["doc_id", ROW]).drop("_norm"))
     return out.select("doc_id", "keep_id", "group_size",
-                      F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+                      (F.col("doc_id").eqNullSafe(F.col("keep_id"))
+                       & (F.col(ROW) == F.col("_keep_row"))).alias("kept"), "digest", ROW)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +86,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Rows of docs that stay when each group of equal texts keeps one."""
-    groups = exact_groups(docs)
-    return without(docs, materialize(groups.where("not kept").select("doc_id"), "exact-dropped"))
+    docs = numbered(docs, "exact-docs")
+    groups = exact_groups(docs, row=ROW)
+    return without(docs, materialize(groups.where("not kept").select(ROW), "exact-dropped"))
 
 
 OP9_SQL = r"""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from postwatch.llm.common import (
     BLANKS,
+    ROW,
     materialize,
+    numbered,
     spread_join,
     table,
     text_or_empty,
@@ -134,6 +136,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of docs that the rules keep.  A null doc_id cannot be named and stays."""
-    rejected = quality_rules(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return without(docs, materialize(rejected.distinct(), "quality-rejected"))
+    """Rows of docs that the rules keep; each row is judged for itself, also without a doc_id."""
+    docs = numbered(docs, "quality-docs")
+    rejected = quality_rules(docs, doc_id=ROW).where("NOT kept").select(
+        F.col("doc_id").alias(ROW))
+    return without(docs, materialize(rejected, "quality-rejected"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwatch.llm.common import materialize, spread_join, table, without
+from postwatch.llm.common import ROW, materialize, numbered, spread_join, table, without
 from postwatch.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -137,8 +137,11 @@ def near_links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
             .mapInPandas(_verified, "u long, v long"))
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fp (signed long), component_id.
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, fp (signed long), component_id, and with `row`, a column of
+    row numbers, that column and kept: true for one row of each component, of smallest doc_id and
+    then number.
 
     component_id is the smallest doc_id that can be reached over fingerprints at MAX_BITS or fewer
     differing bits.  Equal fingerprints are one node; nodes meet by blocks, pairs are discarded by
@@ -146,16 +149,20 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     fingerprint 0 and links like any other.  A null doc_id is reported but never a component's
     name, unless all of the component are null.  No rows give no rows.
     """
+    number = F.col(row) if row else F.lit(0).cast("long")
     rows = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                                   fingerprints(text).alias("fp")), "simhash")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+                                   fingerprints(text).alias("fp"), number.alias(ROW)), "simhash")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", ROW)).alias("rep")
+    fps = materialize(rows.groupBy("fp").agg(least), "simhash-distinct")
     found = components(near_links(fps.select("fp")))
     named = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "rep", F.coalesce("component", "fp").alias("component"))
-    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    names = named.groupBy("component").agg(F.min("rep").alias("_first"))
     ids = spread_join(materialize(named, "simhash-named"), names, ["component"], ["fp"])
-    return spread_join(rows, ids.select("fp", "component_id"), ["fp"], ["doc_id"]).select(
-        "doc_id", "fp", "component_id")
+    out = spread_join(rows, ids.select("fp", "_first"), ["fp"], ["doc_id", ROW]).select(
+        "doc_id", "fp", F.col("_first.doc_id").alias("component_id"), F.col(ROW),
+        (F.col(ROW) == F.col("_first")[ROW]).alias("kept"))
+    return out.withColumnRenamed(ROW, row) if row else out.drop(ROW, "kept")
 
 
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +172,8 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of docs that stay when each component keeps its smallest doc_id."""
-    groups = near_groups(docs)
-    dropped = groups.where("NOT doc_id <=> component_id").select("doc_id")
-    return without(docs, materialize(dropped.where("doc_id IS NOT NULL"), "simhash-dropped"))
+    """Rows of docs that stay when each component keeps the row of its smallest doc_id, of equal
+    ids the first in number."""
+    docs = numbered(docs, "simhash-docs")
+    groups = near_groups(docs, row=ROW)
+    return without(docs, materialize(groups.where("NOT kept").select(ROW), "simhash-dropped"))

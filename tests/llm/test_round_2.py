@@ -2,7 +2,7 @@
 
 import random
 
-from postwatch.llm import langid, licenses, quality
+from postwatch.llm import exact, langid, licenses, quality, simhash
 
 from test_archives_chat_packing import SF
 
@@ -104,3 +104,32 @@ def test_language_stage_does_not_depend_on_the_number_of_languages(spark):
         bad = [(-1 - j, "".join(noise.choices("abcdefghijklmnopqrstuvwxyz ", k=900)), None)
                for j in range(20)]
         assert kept_ids(spark, rows + bad) == {r[0] for r in rows}
+
+
+# Stages with null, repeated and shared ids
+
+
+def words(seed):
+    return " ".join(f"w{seed}x{j}" for j in range(30))
+
+
+def test_stages_decide_row_by_row(spark):
+    def run(stage, rows):
+        df = spark.createDataFrame([(*r, "s") for r in rows],
+                                   "doc_id long, text string, lang string, source string")
+        out = stage(df.repartition(3))
+        assert out.columns == df.columns
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    good, near = words(1), " ".join(words(k) for k in range(2, 9))
+    rows = [(None, good, "x"), (None, "bad", "x"), (3, good, "x"), (3, "bad", "x")]
+    assert run(quality.keep_good, rows) == [(3, good), (None, good)]
+    rows = [(None, speech(1)(60), "x") for _ in range(40)] + [(None, "12 34", None), (5, "56", None)]
+    assert len(run(langid.keep_known, rows)) == 40
+    rows = [(None, good, "x")] * 3 + [(None, near, "x")] * 2 + [(4, good, "x")] * 2 + [
+        (4, words(9), "x"), (2, words(9), "x")]
+    assert run(exact.keep_one, rows) == [(2, words(9)), (4, good), (None, near)]
+    rows = [(None, near, "x"), (None, near.upper(), "x"), (None, good, "x"), (7, good, "x"),
+            (7, good, "x"), (7, words(9), "x"), (6, words(9), "x")]
+    assert [r for r in run(simhash.keep_one, rows) if r[0]] == [(6, words(9)), (7, good)]
+    assert len(run(simhash.keep_one, rows)) == 3
