@@ -106,6 +106,24 @@ def test_language_stage_does_not_depend_on_the_number_of_languages(spark):
         assert kept_ids(spark, rows + bad) == {r[0] for r in rows}
 
 
+def test_language_samples_of_very_different_size(spark):
+    """Languages of 1,000 and 5,000 symbols beside two of 30,000: each document goes to its own."""
+    makers = {lang: speech(seed) for seed, lang in enumerate(("big", "large", "middle", "small"))}
+    learnt = {"big": 8000, "large": 8000, "middle": 1000, "small": 200}
+    train = spark.createDataFrame([(i, makers[x](n), x) for i, (x, n) in enumerate(learnt.items())],
+                                  "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    sizes = dict(zip(model.languages, model.length.tolist()))
+    assert sizes["big"] == sizes["large"] == langid.SAMPLE_CHARS
+    assert 3000 < sizes["middle"] < 8000 and 800 < sizes["small"] < 1500
+    rows = [(100 * i + j, make(40), x) for i, (x, make) in enumerate(makers.items())
+            for j in range(50)]
+    tried = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(tried, model).collect()}
+    wrong = [(x, found[i]) for i, _, x in rows if found[i] != x]
+    assert len(wrong) <= 2, wrong
+
+
 # Stages with null, repeated and shared ids
 
 
