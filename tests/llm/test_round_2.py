@@ -2,7 +2,7 @@
 
 import random
 
-from postwatch.llm import exact, langid, licenses, quality, simhash
+from postwatch.llm import exact, langid, licenses, lines, quality, simhash
 
 from test_archives_chat_packing import SF
 
@@ -151,3 +151,21 @@ def test_stages_decide_row_by_row(spark):
             (7, good, "x"), (7, words(9), "x"), (6, words(9), "x")]
     assert [r for r in run(simhash.keep_one, rows) if r[0]] == [(6, words(9)), (7, good)]
     assert len(run(simhash.keep_one, rows)) == 3
+
+
+# Lines
+
+
+def test_lines_of_several_documents_without_or_with_one_id(spark):
+    base = "the quick brown fox jumps over the lazy dog near the river bank today"
+    other = "a line of quite other words about ships, harbours and the weather at sea"
+    own = lambda i: f"only {i * 7919} here stands {i * 104729} in line {i}"
+    rows = [(None, "\n".join([own(1), own(2), own(3), base + "!"])), (None, other + "."),
+            (None, base + "?"), (7, "\n".join([own(4), other + ","])), (7, own(5)),
+            (1, base), (2, f"{own(6)}\n{other}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {
+        ((r["doc_id"], r["line_no"]), (r["keep_doc_id"], r["keep_line_no"]), r["group_lines"])
+        for r in lines.line_groups(docs).collect() if r["group_lines"] > 1}
+    assert got == {((1, 0), (1, 0), 3), ((None, 0), (1, 0), 3), ((None, 3), (1, 0), 3),
+                   ((2, 1), (2, 1), 3), ((7, 1), (2, 1), 3), ((None, 0), (2, 1), 3)}
