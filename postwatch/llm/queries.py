@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from postwatch.llm import (
+    audit,
     bpe,
     chat,
     exact,
@@ -13,6 +14,7 @@ from postwatch.llm import (
     quality,
     simhash,
     warc,
+    whitening,
 )
 
 QUERIES = {
@@ -26,10 +28,13 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
 }

@@ -18,10 +18,14 @@ CACHE_BYTES = 64
 BATCH = 1024
 #: Bytes of texts whose new words are gathered at a time.
 LEARN_BYTES = 1 << 21
-#: Where a word may be cut without changing its ids: between a letter and an ASCII symbol that is
-#: no apostrophe (letters: a-z and the two-byte ones from U+00C0 to U+024F, lower-cased ASCII).
-LETTER = rb"(?:[a-z]|[\xc4-\xc9][\x80-\xbf]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+#: Words that may be cut without changing their ids: of characters up to U+027F and dashes and
+#: quotes, none of which composes with a neighbour.  Not U+0130, which becomes i and a mark that
+#: goes with the symbols after it.  They are cut between a letter and an ASCII symbol that is no
+#: apostrophe (letters: a-z and those from U+00C0 to U+027F, lower-cased ASCII).
+LETTER = (rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]"
+          rb"|[\xc5-\xc9][\x80-\xbf])")
 SYMBOL = rb"[!-&(-/:-@\[-`{-~]"
+PLAIN = re.compile(rb"(?:[\x00-\x7f]|[\xc2\xc3][\x80-\xbf]|" + LETTER + rb"|\xe2\x80[\x90-\xbf])*")
 LETTERS = re.compile(LETTER + rb"+")
 CUTS = re.compile(rb"(?<=[a-z])(?=" + SYMBOL + rb")"
                   rb"|(?<=[\xc3-\xc9][\x80-\xbf])(?<!\xc3[\x97\xb7])(?=" + SYMBOL + rb")"
@@ -76,7 +80,9 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def _cut(self, word: bytes) -> list[bytes]:
-        return [word] if self.special.search(word) else CUTS.split(word.lower())
+        if self.special.search(word) or not PLAIN.fullmatch(word):
+            return [word]
+        return CUTS.split(word.lower())
 
     def learn(self, texts: Iterable[bytes]) -> None:
         """Encode the short words of texts that are not known yet, in batches."""
