@@ -13,6 +13,7 @@ from postwatch.llm import (
     packing,
     quality,
     simhash,
+    substring,
     warc,
     whitening,
 )
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
     "op11_filter_audit": audit.op11_filter_audit,
+    "op12_substring_dedup": substring.op12_substring_dedup,
     "op13_whitening": whitening.op13_whitening,
 }
 
@@ -37,4 +39,5 @@ ORACLES = {
     "op6_chat_format": chat.OP6_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
     "op11_filter_audit": audit.OP11_SQL,
+    "op12_substring_dedup": substring.OP12_SQL,
 }
