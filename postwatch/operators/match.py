@@ -11,22 +11,37 @@ from pyspark.sql import functions as F
 
 from postwatch.functions.places import contains_any
 from postwatch.functions.text import normalize, normalize_py
-from postwatch.operators.skew import salted_join
+from postwatch.operators.skew import dealt, salted_join
 from postwatch.plans import defaults
+from postwatch.session import materialize
 
 
-def _tokens(col: Column) -> Column:
-    """Blocking tokens: alphanumeric runs, and other characters one by one."""
-    return F.array_distinct(F.regexp_extract_all(col, F.lit("[a-z0-9]+|[^a-z0-9 ]"), F.lit(0)))
+#: Tokens of the longest phrase in the index.
+PHRASE = 8
 
 
-def _anchors(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """(_name, _t): the rarest token of each name.  A name found at word boundaries has every
-    token of its own as a token of the text around it, so any one will do."""
-    each = names.select("_name", F.explode(_tokens(F.col("_name"))).alias("_t"))
-    rarest = F.min_by("_t", F.struct("_n", (-F.length("_t")).alias("_l"), "_t"))
-    return salted_join(each, counts, ["_t"], "inner", F.col("_name")).groupBy("_name").agg(
-        rarest.alias("_t"))
+def _tokens(name: Column) -> Column:
+    """Alphanumeric runs, and other characters one by one, each with the space before it."""
+    return F.regexp_extract_all(name, F.lit(" ?(?:[a-z0-9]+|[^a-z0-9 ])"), F.lit(0))
+
+
+def _phrases(name: Column, longest: int = PHRASE) -> Column:
+    """Every part of a normalized name of at most `longest` tokens that stands in it at word
+    boundaries.  A name that occurs at word boundaries in another has all its phrases there."""
+    tokens = _tokens(name)
+
+    def of(i: Column, n: Column) -> Column:
+        first, before, after = (F.get(tokens, x) for x in (i, i - 1, i + n))
+        opens = F.coalesce(first.startswith(" ") | ~before.rlike("[a-z0-9]$"), F.lit(True))
+        closes = F.coalesce(~after.rlike("^[a-z0-9]"), F.lit(True))
+        return F.when(opens & closes, F.ltrim(F.array_join(F.slice(tokens, i + 1, n), "")))
+
+    size = F.size(tokens)
+    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(
+        F.array().cast("array<int>"))
+    every = F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(longest), size - i)), lambda n: of(i, n))))
+    return F.array_distinct(F.filter(every, lambda p: p.isNotNull()))
 
 
 def _word_match(needle: Column, text: Column) -> Column:
@@ -46,55 +61,77 @@ def employer_needles(employers: DataFrame) -> DataFrame:
     )
 
 
+def phrase_index(names: DataFrame) -> DataFrame:
+    """(phrase, and the columns of names): an inverted index of names (name, ...)."""
+    return names.select("*", F.explode(_phrases(F.col("name"))).alias("phrase"))
+
+
+def _keys_of_long(index: DataFrame) -> DataFrame:
+    """(name, phrase) of the names with more than PHRASE tokens: the phrase that the fewest names
+    hold, of those the longest."""
+    counts = index.groupBy("phrase").agg(F.count(F.lit(1)).alias("_n"))
+    long = index.filter("long").select("name", "phrase")
+    rarest = F.min_by("phrase", F.struct("_n", (-F.length("phrase")).alias("_l"), "phrase"))
+    return salted_join(long, counts, ["phrase"], "inner", F.col("name")).groupBy("name").agg(
+        rarest.alias("phrase"))
+
+
 def employer_lookup(companies: DataFrame, employers: DataFrame) -> DataFrame:
-    """(company_norm, employer, employer_tier) for the normalized companies that match.
+    """(company_norm, employer, employer_tier) for the normalized companies that match, as a written
+    table.
 
     A company matches an employer when one of the employer's names stands in it at word
-    boundaries, or the other way round; the lowest ord wins.  Instead of comparing all pairs,
-    both sides meet on a token: the rarest one of the shorter name, by the number of distinct
-    names on both sides that hold it, is a token of the longer one.  Only those pairs are
-    verified, so a word that all names share brings nobody together unless a name has no other.
-    Companies with a common word are dealt over parts."""
-    company, needle = F.col("company_norm"), F.col("needle")
-    companies = companies.select("company_norm").distinct()  # '' has no token: no match
-    needles = employer_needles(employers)
-
-    names = companies.select(company.alias("_name")).unionByName(
-        needles.select(needle.alias("_name"))).distinct()
-    counts = names.select(F.explode(_tokens(F.col("_name"))).alias("_t")).groupBy("_t").agg(
-        F.count(F.lit(1)).alias("_n"))
-    anchors = _anchors(names, counts)
-
-    def keyed(df: DataFrame, name: str, inner: str) -> DataFrame:
-        """Rows (inner, _t): as the shorter name by anchor, as the longer one by every token."""
-        other = "needle" if inner == "company" else "company"
-        long = df.select("*", F.lit(other).alias("_short"),
-                         F.explode(_tokens(F.col(name))).alias("_t"))
-        short = df.join(anchors.withColumnRenamed("_name", name), name).select(
-            df.columns + [F.lit(inner).alias("_short"), "_t"])
-        return long.unionByName(short)
-
-    pairs = salted_join(
-        keyed(companies, "company_norm", "company"), keyed(needles, "needle", "needle"),
-        ["_short", "_t"], "inner", company,
-    ).filter(
-        F.when(F.col("_short") == "needle", _word_match(needle, company))
-        .otherwise(_word_match(company, needle))
-    )
-    first = F.min(F.struct("ord", "name", "tier")).alias("m")
-    return pairs.groupBy("company_norm").agg(first).select(
-        "company_norm", F.col("m.name").alias("employer"), F.col("m.tier").alias("employer_tier")
-    )
+    boundaries, or the other way round; the lowest ord wins.  All names of both sides are written
+    once, and once more as an index of their phrases.  A name of at most PHRASE tokens is a phrase
+    itself: it is found by equality, so common words bring nobody together.  Longer names meet on
+    their rarest phrase and are compared.  A phrase that many companies hold is dealt over parts; of
+    the employers with one phrase the first is chosen before the shuffle.  Runs jobs."""
+    needles = employer_needles(employers).groupBy(F.col("needle").alias("name")).agg(
+        F.min(F.struct("ord", F.col("name").alias("employer"), "tier")).alias("m"))
+    wanted = companies.select(F.col("company_norm").alias("name"), F.lit(True).alias("company"))
+    names = wanted.distinct().join(needles, "name", "full").filter("name <> ''").select(
+        "name", F.coalesce("company", F.lit(False)).alias("company"), "m",
+        (F.size(_tokens(F.col("name"))) > PHRASE).alias("long"))
+    names = materialize(names, "match-names")  # '' has no token: no match
+    index = materialize(phrase_index(names), "match-index")
+    inside, around = index.filter("company"), index.filter("m is not null")
+
+    short = names.filter("not long")
+    within = salted_join(
+        inside.select("name", "phrase"),
+        short.filter("m is not null").select(F.col("name").alias("phrase"), "m"),
+        ["phrase"], "inner", F.col("name")).select("name", "m")
+    holding = around.groupBy("phrase").agg(F.min("m").alias("m")).join(
+        short.filter("company").select(F.col("name").alias("phrase")), "phrase").select(
+        F.col("phrase").alias("name"), "m")
+
+    keys = _keys_of_long(index)
+    keyed = materialize(names.join(keys, "name"), "match-long")
+    text, m = F.col("_text"), F.col("m")
+    long_needles = salted_join(
+        inside.select(F.col("name").alias("_text"), "phrase"),
+        keyed.filter("m is not null").select("name", "phrase", "m"), ["phrase"], "inner", text,
+    ).filter(_word_match(F.col("name"), text)).select(text.alias("name"), "m")
+    long_companies = salted_join(
+        around.select(F.col("name").alias("_text"), "phrase", "m"),
+        keyed.filter("company").select("name", "phrase"), ["phrase"], "inner", text,
+    ).filter(_word_match(F.col("name"), text)).select("name", "m")
+
+    found = within.unionByName(holding).unionByName(long_needles).unionByName(long_companies)
+    return materialize(found.groupBy("name").agg(F.min(m).alias("m")).select(
+        F.col("name").alias("company_norm"), F.col("m.employer").alias("employer"),
+        F.col("m.tier").alias("employer_tier")), "match-found")
 
 
 def match_employer(df: DataFrame, employers: DataFrame, company: str = "company",
                    spread_by: str = "ingest_seq") -> DataFrame:
     """Add employer and employer_tier (null when off the list).  Matching runs once per distinct
-    company; one company may have most of the postings, so the way back is salted."""
+    company; one company may have most of the postings, so the way back is salted.  Runs jobs."""
     named = df.withColumn("company_norm", normalize(F.col(company)))
-    found = employer_lookup(named, employers)
+    used = materialize(dealt(named, ["company_norm"], F.col(spread_by)), "match-parts")
     return salted_join(
-        named, found, ["company_norm"], "left", F.col(spread_by)
+        named, employer_lookup(used, employers), ["company_norm"], "left", F.col(spread_by),
+        used=used,
     ).drop("company_norm")
 
 

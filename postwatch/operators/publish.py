@@ -13,8 +13,9 @@ from postwatch.functions.text import clean_employer, normalize, or_default
 from postwatch.operators.dedup import greedy_or_dedup
 from postwatch.operators.match import match_employer
 from postwatch.operators.score import rank_key
-from postwatch.operators.skew import salted_join
+from postwatch.operators.skew import dealt, salted_join
 from postwatch.plans import defaults
+from postwatch.session import materialize
 
 OFFER_COLUMNS = [
     "found_on", "employer", "title", "location", "contract", "salary", "age", "url", "source",
@@ -65,18 +66,19 @@ def pair_columns(company: Column, title: Column) -> dict[str, Column]:
 def not_yet_published(retained: DataFrame, offers: DataFrame,
                       spread_by: str = "ingest_seq") -> DataFrame:
     """Postings with neither their url nor their (employer, title) pair in the offers table.
-    Two anti joins: a single OR condition would compare all pairs."""
+    Two anti joins: a single OR condition would compare all pairs.  Runs a job: the keys of both
+    are written once."""
     pairs = offers.select(
         *[c.alias(n) for n, c in pair_columns(offers.employer, offers.title).items()]
     ).distinct()
     urls = offers.select(F.trim("url").alias("url")).filter("url != ''").distinct()
-    spread = F.col(spread_by)
-    fresh = salted_join(retained, urls, ["url"], "left_anti", spread)
-    fresh = fresh.withColumns(pair_columns(fresh.company, fresh.title))
+    spread, pair = F.col(spread_by), ["_employer", "_title"]
     named = retained.withColumns(pair_columns(retained.company, retained.title))
-    return salted_join(
-        fresh, pairs, ["_employer", "_title"], "left_anti", spread, count_in=named
-    ).select(retained.columns)
+    used = materialize(dealt(named, ["url", *pair], spread), "publish-parts")
+    fresh = salted_join(named, urls, ["url"], "left_anti", spread,
+                        used=used.select("url", "_part").distinct())
+    return salted_join(fresh, pairs, pair, "left_anti", spread,
+                       used=used.select(*pair, "_part").distinct()).select(retained.columns)
 
 
 def select_offers(retained: DataFrame, offers: DataFrame) -> DataFrame:

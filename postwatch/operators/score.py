@@ -15,8 +15,9 @@ from postwatch.functions.text import normalize
 from postwatch.operators.filters import passes_threshold
 from postwatch.operators.lexicon import lexicon_score
 from postwatch.operators.match import employer_lookup, fuzzy_lookup, tier_score
-from postwatch.operators.skew import salted_join
+from postwatch.operators.skew import dealt, salted_join
 from postwatch.plans import defaults
+from postwatch.session import materialize
 
 
 def blend(weights: dict[str, float] = defaults.WEIGHTS) -> Column:
@@ -54,14 +55,16 @@ def score_postings(
     scored = score_location(named, **location_params).withColumns(
         {"hard_skills": lexicon_score(text, hard), "soft_skills": lexicon_score(text, soft)}
     )
-    # Both lookups are built from `named`, so neither repeats the other's join or the text scans.
+    # The keys of both lookups are written once, so neither repeats the other's join or the scans.
     spread = F.col("ingest_seq")
+    used = materialize(dealt(named, ["company_norm", "title_norm"], spread), "score-parts")
     scored = salted_join(
-        scored, employer_lookup(named, employers), ["company_norm"], "left", spread, count_in=named,
+        scored, employer_lookup(used, employers), ["company_norm"], "left", spread,
+        used=used.select("company_norm", "_part").distinct(),
     )
     scored = salted_join(
-        scored, fuzzy_lookup(named, targets), ["title_norm"], "left", spread,
-        count_in=named,
+        scored, fuzzy_lookup(used, targets), ["title_norm"], "left", spread,
+        used=used.select("title_norm", "_part").distinct(),
     )
     scored = scored.withColumns({
         "title_match": F.coalesce("fuzzy", F.lit(100.0)),

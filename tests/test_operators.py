@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import random
 import re
 from difflib import SequenceMatcher
@@ -6,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from postwatch.functions.text import fingerprint, normalize_py
 from postwatch.operators import components as components_module
 from postwatch.operators import dedup, filters, lexicon, match, publish, score, skew, state, stats
@@ -141,18 +143,49 @@ def test_greedy_long_chain_in_few_rounds(spark, monkeypatch):
 
 
 def test_employer_candidates_grow_linearly(spark):
-    """Names that share a common word meet on their rare one."""
-    def candidates(n):
-        companies = spark.range(n).select(
-            F.concat(F.lit("international w"), "id").alias("company_norm"))
-        dim = spark.createDataFrame(
-            [(i, f"International w{i}", 1, "", None, [], None, None) for i in range(n)], EMPLOYERS)
-        names = companies.select(F.col("company_norm").alias("_name"))
-        counts = names.select(F.explode(match._tokens(F.col("_name"))).alias("_t")).groupBy(
-            "_t").agg(F.count("*").alias("_n"))
-        assert match._anchors(names, counts).filter("_t = 'international'").count() == 0
-        assert match.employer_lookup(companies, dim).count() == n
-    candidates(300)
+    """Names made of ten common words meet only where one is a phrase of the other."""
+    words = [f"w{i}" for i in range(10)]
+    names = [" ".join(c) for c in itertools.product(words, repeat=3)]
+    companies = spark.createDataFrame([(n,) for n in names], "company_norm string")
+    dim = spark.createDataFrame(
+        [(i, n, 1, "", None, [], None, None) for i, n in enumerate(names)], EMPLOYERS)
+    index = match.phrase_index(companies.withColumnRenamed("company_norm", "name"))
+    assert index.groupBy("phrase").count().filter("count > 300").count() == 0
+    assert index.join(companies, index.phrase == companies.company_norm).count() == len(names)
+    got = {r.company_norm: r.employer for r in match.employer_lookup(companies, dim).collect()}
+    assert got == {n: n for n in names}
+
+
+def test_phrases_stand_at_word_boundaries(col):
+    names = ["a", "", "c++ (ltd", "a-b c", "x+ y", "я b", "..."]
+    got = col("n string", [(n,) for n in names], match._phrases(F.col("n")))
+    for name, phrases in zip(names, got):
+        cut = {name[i:j] for i in range(len(name)) for j in range(i + 1, len(name) + 1)}
+        want = {p for p in cut if p == p.strip() and re.search(
+            rf"(?<![a-z0-9]){re.escape(p)}(?![a-z0-9])", name)}
+        assert set(phrases) == want, name
+
+
+def test_long_employer_names(spark):
+    """More tokens than a phrase of the index has: met on the rarest phrase, then compared."""
+    common = " ".join(f"c{i}" for i in range(12))
+    names = [f"{common} {i} {common}" for i in range(40)]
+    companies = [f"sas {n} fils" for n in names] + [f"{common} x {common}", "c3 c4", "(((((((((((("]
+    dim = spark.createDataFrame([(i, n, 2, "", None, ["[" * 12, f"le groupe {companies[3]}"], None,
+                                  None) for i, n in enumerate(names)], EMPLOYERS)
+    df = spark.createDataFrame([(c,) for c in companies], "company_norm string")
+    got = {r.company_norm: r.employer for r in match.employer_lookup(df, dim).collect()}
+    want = {c: n for c, n in zip(companies, names)} | {companies[3]: names[0], "c3 c4": names[0]}
+    assert got == want
+
+
+def test_employer_match_plan_is_small(spark):
+    postings = spark.read.parquet(f"{SF}/orders.parquet").select(
+        F.col("o_orderkey").alias("ingest_seq"), F.col("o_orderpriority").alias("company"))
+    dim = spark.createDataFrame(EMPLOYER_ROWS, EMPLOYERS)
+    text = plan(match.match_employer(postings, dim))
+    assert text.count("FileScan") + text.count("Scan parquet") <= 15
+    assert text.count("Exchange") <= 12
 
 
 # --- state --------------------------------------------------------------------------------
