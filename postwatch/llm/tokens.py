@@ -80,32 +80,36 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def _cut(self, word: bytes) -> list[bytes]:
-        if self.special.search(word) or not PLAIN.fullmatch(word):
+        if word.isalnum():  # ASCII only
+            return [word.lower()]
+        if b"<|" in word and self.special.search(word) or not (
+                word.isascii() or PLAIN.fullmatch(word)):
             return [word]
         return CUTS.split(word.lower())
 
-    def learn(self, texts: Iterable[bytes]) -> None:
+    def learn(self, texts: Iterable[list[bytes]]) -> None:
         """Encode the short words of texts that are not known yet, in batches."""
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         if len(self.parts) > CACHE_WORDS:
             self.parts.clear()
-        seen: set[bytes] = set()
-        for text in texts:
-            seen.update(text.split())
+        seen: set[bytes] = set().union(*texts)
         seen.difference_update(self.words)
-        fresh = {word: self._cut(word) for word in seen if len(word) <= CACHE_BYTES}
+        cut = self._cut
+        fresh = {word: cut(word) for word in seen if len(word) <= CACHE_BYTES}
         parts = self.parts
-        new = {p for cut in fresh.values() for p in cut if p not in parts}
-        letters = [p for p in new if LETTERS.fullmatch(p)]
+        new = {p for pieces in fresh.values() for p in pieces if p not in parts}
+        letters = [p for p in new if p.isalpha() or LETTERS.fullmatch(p)]
         others = list(new.difference(letters))
         for some, call in ((letters, self._letters), (others, self._library)):
             for at in range(0, len(some), BATCH):
                 parts.update(zip(some[at:at + BATCH], call(some[at:at + BATCH])))
-        self.words.update((w, b"".join([parts[p] for p in cut])) for w, cut in fresh.items())
+        self.words.update((w, parts[p[0]] if len(p) == 1 else b"".join([parts[x] for x in p]))
+                          for w, p in fresh.items())
 
-    def encode(self, text: bytes) -> np.ndarray:
-        words, split = self.words, text.split()
+    def encode(self, split: list[bytes]) -> np.ndarray:
+        """Ids of the words of a text."""
+        words = self.words
         try:
             return np.frombuffer(b"".join(map(words.__getitem__, split)), "<u4")
         except KeyError:
@@ -114,17 +118,18 @@ class WordEncoder:
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterable[np.ndarray]:
         """Ids of each text; null counts as empty."""
-        held: list[bytes] = []
+        held: list[list[bytes]] = []
         size = 0
         for text in texts:
-            held.append((text or "").encode())
-            size += len(held[-1])
+            coded = (text or "").encode()
+            size += len(coded)
+            held.append(coded.split())  # kept, so that a word is hashed once
             if size > LEARN_BYTES:
                 yield from self._learnt(held)
                 held, size = [], 0
         yield from self._learnt(held)
 
-    def _learnt(self, texts: list[bytes]) -> Iterable[np.ndarray]:
+    def _learnt(self, texts: list[list[bytes]]) -> Iterable[np.ndarray]:
         self.learn(texts)
         return map(self.encode, texts)
 
