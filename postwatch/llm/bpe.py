@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -20,10 +22,12 @@ from postwatch.llm.tokens import tokenizer, vocabulary_path, word_encoder
 LEAF = 32_768
 #: Tokens on each side of a join that are encoded again first; doubled until both sides agree.
 MARGIN = 8
+#: Code points before an end of text in which its pieces may depend on what follows (an apostrophe
+#: and two letters), with some to spare.
+OPEN_END = 8
 #: Texts whose results are held at a time.
 SLICE = 256
-BLANK = frozenset(" \t\n\x0b\x0c\r")
-LEAF_FIELDS = "uid long, doc_id long, leaf int, text string"
+LEAF_FIELDS = "uid long, doc_id long, leaf int, segment int, special int, text string"
 CODED = "doc_id long, ids array<int>, decoded string"
 CODE_FIELDS = LEAF_FIELDS + ", codes binary"
 
@@ -31,17 +35,19 @@ CODE_FIELDS = LEAF_FIELDS + ", codes binary"
 @dataclass
 class Encoded:
     """A text and its tokens: ids, the code points they cover, and whether each one begins a
-    piece of the splitting pattern.  The ids are those of the text standing alone."""
+    piece of the splitting pattern.  The ids are those of the text standing alone; places count from
+    `base` before the text."""
 
     text: str
     ids: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     heads: np.ndarray
+    base: int = 0
 
     def part(self, lo: int, hi: int) -> "Encoded":
         return Encoded(self.text, self.ids[lo:hi], self.starts[lo:hi], self.ends[lo:hi],
-                       self.heads[lo:hi])
+                       self.heads[lo:hi], self.base)
 
     def packed(self) -> bytes:
         """The tokens for a shuffle: places as steps, which compress well."""
@@ -56,7 +62,8 @@ class Encoded:
         return Encoded(text, ids.astype("<u4"), starts, starts + sizes, heads.astype(bool))
 
     def moved(self, by: int) -> "Encoded":
-        return Encoded(self.text, self.ids, self.starts + by, self.ends + by, self.heads)
+        return Encoded(self.text, self.ids, self.starts + by, self.ends + by, self.heads,
+                       self.base + by)
 
 
 def joined(text: str, *parts: Encoded) -> Encoded:
@@ -65,44 +72,40 @@ def joined(text: str, *parts: Encoded) -> Encoded:
 
 
 class TreeEncoder:
-    def __init__(self, path: str):
-        self.whole = tokenizer(path)
-        self.path = path
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-
-    @property
-    def inner(self):
-        return _without_word_ends(self.path)
+    """Encodes text that the library's normalizer has already dealt with.  Special tokens are taken
+    out before, as the library does, so a text is a list of segments; what is cut, compared and
+    joined is normalized, so no place moves and any code point may be the first of a leaf."""
 
-    def encode(self, text: str, inner: bool = False) -> Encoded:
-        """Tokens of the text standing alone; `inner`: of letters or symbols inside a word."""
-        got = (self.inner if inner else self.whole).encode(text, add_special_tokens=False)
+    def __init__(self, path: str):
+        whole = tokenizer(path)
+        self.normalize = whole.normalizer.normalize_str if whole.normalizer else str
+        self.special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+        self.splits = re.compile(
+            "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
+            if self.special else "(?!)")
+        self.bare = _without_specials(path)
+
+    def segments(self, text: str) -> Iterator[tuple[int, str]]:
+        """(id of a special token or -1, normalized text) in order."""
+        for part in self.splits.split(text):
+            if part in self.special:
+                yield self.special[part], ""
+            elif part:
+                yield -1, self.normalize(part)
+
+    def encode(self, text: str) -> Encoded:
+        """Tokens of a normalized text standing alone."""
+        got = self.bare.encode(text, add_special_tokens=False)
         spans = np.array(got.offsets, "int64").reshape(-1, 2)
-        words = np.array([-1 if w is None else w for w in got.word_ids], "int64")
-        # Tokens of the vocabulary and special ones number their words apart.
-        heads = np.ones(len(words), bool)
-        if len(words) > 1:
-            heads[1:] = (words[1:] != words[:-1]) | (words[1:] < 0)
+        heads = np.diff(np.array(got.word_ids, "int64"), prepend=-1) != 0
         return Encoded(text, np.array(got.ids, "<u4"), spans[:, 0], spans[:, 1], heads)
 
-    def safe(self, text: str, at: int) -> bool:
-        """Whether the text may be cut here: normalization and special tokens stay within sides.
-        An ASCII character never joins what stands before it."""
-        if not text[at].isascii():
-            return False
-        return not any(0 <= text.find(s, max(0, at - len(s) + 1), at + len(s) - 1) < at
-                       for s in self.special)
-
     def leaves(self, text: str, leaf: int = LEAF) -> list[str]:
-        """The text halved until no part is longer than `leaf`, where a safe place is found."""
+        """A normalized text halved until no part is longer than `leaf`."""
         if len(text) <= leaf:
             return [text]
         half = len(text) // 2
-        for step in range(half):
-            for at in (half - step, half + step):
-                if 0 < at < len(text) and self.safe(text, at):
-                    return self.leaves(text[:at], leaf) + self.leaves(text[at:], leaf)
-        return [text]
+        return self.leaves(text[:half], leaf) + self.leaves(text[half:], leaf)
 
     def tree(self, parts: list[Encoded], margin: int = MARGIN) -> Encoded:
         """Neighbours are joined in rounds until one is left."""
@@ -112,87 +115,91 @@ class TreeEncoder:
         return parts[0]
 
     def join(self, left: Encoded, right: Encoded, margin: int = MARGIN) -> Encoded:
-        """Encoding of left.text + right.text: a window around the join is encoded again and
-        grows until its first token is one of the left side and its last one of the right side.
-
-        Then every two neighbouring tokens stand as in an encoding of their own, which only the
-        encoding of the whole text does.
+        """Encoding of left.text + right.text: a window around the join is encoded again and grows
+        until its tokens agree with those of both sides.
+
+        On the left it starts where a piece of the splitting pattern starts for certain, or within
+        a run of letters or symbols with two tokens that are the left side's too.  On the right it
+        ends with a token that the right side has too and after which both go on alike.  So every
+        two neighbouring tokens stand as in an encoding of their own, and pieces as in a scan of
+        the whole text, which only the encoding of the whole text does.
         """
         size, text = len(left.text), left.text + right.text
         while True:
             lo = self._left_edge(left, len(left.ids) - margin)
-            hi = self._right_edge(right, margin)
-            start = left.starts[lo] if lo > 0 else 0
-            inside = lo > 0 and hi is None and self._run(left, lo, right, margin)
-            if inside:
-                hi = self._run_edge(right, margin)
-                inside = hi is not None
-            if hi is None:
-                hi = len(right.ids)
-            end = size + (right.ends[hi - 1] if hi < len(right.ids) else len(right.text))
-            window = self.encode(text[start:end], inside).moved(start)
-            agree_left = lo == 0 or _same(window, 0, left, lo, 0)
-            agree_right = hi == len(right.ids) or _same(window, -1, right, hi - 1, size)
-            if agree_left and agree_right:
+            start = int(left.starts[lo]) if lo > 0 else 0
+            inside = lo > 0 and not left.heads[lo]
+            ends = size + int(right.ends[margin - 1]) if margin < len(right.ids) else len(text)
+            window = self.encode(text[start:ends]).moved(start)
+            if not inside or _agree(window, 0, left, lo, 0) and _agree(window, 1, left, lo + 1, 0):
                 if inside:
-                    window.heads[0] = left.heads[lo]
-                return joined(text, left.part(0, lo), window,
-                              right.part(hi, len(right.ids)).moved(size))
+                    window.heads[0] = False
+                cut = (len(window.ids), len(right.ids)) if ends == len(text) else \
+                    self._meet(window, right, size, ends)
+                if cut:
+                    return joined(text, left.part(0, lo), window.part(0, cut[0]),
+                                  right.part(cut[1], len(right.ids)).moved(size))
             margin *= 2
 
     def _left_edge(self, left: Encoded, at: int) -> int:
-        """First token of the window: one that starts a piece, or stands within a run that does
-        not begin with an apostrophe; at least eight code points before the join."""
-        while at > 0 and not (
-                left.starts[at] <= len(left.text) - 8 and left.starts[at] >= left.ends[at - 1]
-                and left.text[left.starts[at]].isascii() and left.text[left.starts[at]] != "'"
-                and (left.heads[at] or left.text[left.starts[_head(left, at)]] != "'")):
+        """First token of the window: whole code points before it, and the start of a piece or
+        within a run, which an apostrophe may not begin."""
+        while at > 0:
+            start = left.starts[at]
+            if start <= len(left.text) - OPEN_END and start >= left.ends[at - 1] and (
+                    left.heads[at] or left.text[start] != "'"
+                    and left.text[left.starts[_head(left, at)]] != "'"):
+                return at
             at -= 1
-        return max(at, 0)
-
-    def _right_edge(self, right: Encoded, at: int) -> int | None:
-        """End of the window: where any reading of the text ends a piece; None if the next
-        `margin` tokens have no such place."""
-        for i in range(at, min(2 * at, len(right.ids))):
-            end = right.ends[i - 1]
-            after, before = right.text[right.starts[i]], right.text[end - 1]
-            if end >= 8 and right.heads[i] and right.starts[i] >= end and (
-                    right.text[end] in BLANK
-                    or after.isascii() and not after.isalpha() and before.isalpha()):
-                return i
+        return 0
+
+    def _meet(self, window: Encoded, right: Encoded, size: int,
+              ends: int) -> tuple[int, int] | None:
+        """Numbers of window tokens and of right tokens before a place where both agree: the last
+        two tokens before it are the same and stand within one run, or the last one is the same and
+        a piece ends with it."""
+        places = {int(e): j for j, e in enumerate(right.ends)
+                  if e <= ends - size and j + 1 < len(right.ids)}
+        for i in range(len(window.ids) - 2, -1, -1):
+            j = places.get(int(window.ends[i]) - size)
+            if j is None or not _agree(window, i, right, j, size) \
+                    or window.starts[i + 1] < window.ends[i] or right.starts[j + 1] < right.ends[j]:
+                continue
+            if window.heads[i + 1] and right.heads[j + 1]:
+                if window.starts[i + 1] == right.starts[j + 1] + size \
+                        and window.ends[i] <= ends - OPEN_END:
+                    return i + 1, j + 1
+            elif not window.heads[i + 1] and not right.heads[j + 1] and i > 0 and j > 0 \
+                    and _agree(window, i - 1, right, j - 1, size) \
+                    and not window.heads[i] and not right.heads[j] \
+                    and self._in_run(window, i) and self._in_run(right, j):
+                return i + 1, j + 1
         return None
 
-    def _run(self, left: Encoded, lo: int, right: Encoded, margin: int) -> bool:
-        """Whether the window would hold letters only."""
-        hi = self._run_edge(right, margin)
-        return hi is not None and left.text[left.starts[lo]:].isalpha() \
-            and right.text[:right.ends[hi - 1] + 1].isalpha()
-
-    def _run_edge(self, right: Encoded, at: int) -> int | None:
-        for i in range(at, min(2 * at, len(right.ids))):
-            if right.starts[i] >= right.ends[i - 1] and right.text[right.starts[i]].isascii():
-                return i
-        return None
+    def _in_run(self, tokens: Encoded, at: int) -> bool:
+        """Whether the token stands in a run: no apostrophe begins its piece."""
+        return tokens.text[tokens.starts[_head(tokens, at)] - tokens.base] != "'"
 
 
 def _head(tokens: Encoded, at: int) -> int:
-    return int(np.flatnonzero(tokens.heads[:at + 1])[-1])
+    found = np.flatnonzero(tokens.heads[:at + 1])
+    return int(found[-1]) if len(found) else 0
 
 
-def _same(window: Encoded, i: int, side: Encoded, j: int, by: int) -> bool:
-    return len(window.ids) > 0 and window.ids[i] == side.ids[j] \
+def _agree(window: Encoded, i: int, side: Encoded, j: int, by: int) -> bool:
+    return i < len(window.ids) and j < len(side.ids) and window.ids[i] == side.ids[j] \
         and window.starts[i] == side.starts[j] + by and window.ends[i] == side.ends[j] + by
 
 
 @lru_cache(maxsize=4)
-def _without_word_ends(path: str):
-    """The same merges for text that goes on: without the mark at a word's end."""
+def _without_specials(path: str):
+    """The same pieces and merges for normalized text without special tokens."""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    spec["model"]["end_of_word_suffix"] = None
-    return Tokenizer.from_str(json.dumps(spec))
+    return Tokenizer.from_str(json.dumps(spec | {
+        "normalizer": None, "added_tokens": [], "truncation": None, "padding": None}))
 
 
 @lru_cache(maxsize=4)
@@ -224,10 +231,13 @@ def _split(path: str, leaf: int):
         encoder = tree_encoder(path)
         for batch in batches:
             for row in batch.itertuples(index=False):
-                parts = encoder.leaves(row.text, leaf)
+                parts = [(number, special, part)
+                         for number, (special, text) in enumerate(encoder.segments(row.text))
+                         for part in encoder.leaves(text, leaf)]
                 yield pd.DataFrame({
                     "uid": row.uid, "doc_id": pd.array([row.doc_id] * len(parts), "Int64"),
-                    "leaf": range(len(parts)), "text": parts})
+                    "leaf": range(len(parts)), "segment": [p[0] for p in parts],
+                    "special": [p[1] for p in parts], "text": [p[2] for p in parts]})
 
     return split
 
@@ -241,12 +251,24 @@ def _encode_leaves(path: str):
     return encode
 
 
+def join_segments(encoder: TreeEncoder, leaves: list[tuple[int, int, Encoded]],
+                  margin: int = MARGIN) -> np.ndarray:
+    """Ids of a text from (segment, special id or -1, encoded leaf) in order."""
+    out = []
+    for _, group in groupby(leaves, key=lambda x: x[0]):
+        group = list(group)
+        special = group[0][1]
+        out.append(np.array([special], "<u4") if special >= 0
+                   else encoder.tree([x[2] for x in group], margin).ids)
+    return np.concatenate(out) if out else np.empty(0, "<u4")
+
+
 def _join_leaves(path: str, margin: int):
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("leaf")
-        parts = [Encoded.unpacked(t, codes) for t, codes in zip(rows["text"], rows["codes"])]
-        whole = tree_encoder(path).tree(parts, margin)
-        ids = [whole.ids.astype("int32")]
+        leaves = [(r.segment, r.special, Encoded.unpacked(r.text, r.codes))
+                  for r in rows.itertuples()]
+        ids = [join_segments(tree_encoder(path), leaves, margin).astype("int32")]
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].astype("Int64").array, "ids": ids,
                              "decoded": decode(ids, path)})
 
@@ -258,8 +280,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     """One row per row of docs: doc_id, ids array<int>, decoded, as the tokenizers library encodes
     the whole text without special tokens added, and decodes those ids.
 
-    A text of at most `leaf` code points is encoded where it is read.  A longer one is halved,
-    white space or not; its leaves are dealt over the cluster and encoded, and one task per text
+    A text of at most `leaf` code points is encoded where it is read.  A longer one is normalized
+    and halved anywhere; its leaves are dealt over the cluster and encoded, and one task per text
     joins them pair by pair.  What a task holds is bounded by one text.
 
     A null text counts as empty (no ids), a null doc_id stays null, repeated rows are encoded each,
