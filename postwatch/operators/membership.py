@@ -45,7 +45,15 @@ def maybe_in(df: DataFrame, keys: list[str], found: DataFrame, words: int = WORD
     """Rows of df whose keys may be in the filter (all that are, and a few others), or with
     inside=False those that are certainly not in it.  df is not shuffled: the filter is broadcast,
     and its size is bounded by `words`.  Keys are hashed as columns of the same names and types."""
-    test = df.withColumn("_word", _place(keys, words)).withColumn("_mask", _mask(keys))
-    got = test.join(F.broadcast(found), "_word", "left")
-    held = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+    word, bits, mask = (_fresh(df, name) for name in ("_word", "_bits", "_mask"))
+    test = df.withColumns({word: _place(keys, words), mask: _mask(keys)})
+    got = test.join(F.broadcast(found.toDF(word, bits)), word, "left")
+    held = F.coalesce(F.col(bits).bitwiseAND(F.col(mask)) == F.col(mask), F.lit(False))
     return got.where(held if inside else ~held).select(df.columns)
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
