@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postwatch.operators.membership import maybe_in, membership
 from postwatch.operators.skew import PARTS, salted_join
 from postwatch.session import materialize
 
 #: The ASCII white space that separates words, as the text of a character class.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Ids up to this count (8 MB of longs) may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Column of the numbers that numbered() gives to rows.
+#: Column that names rows inside operators; their inputs may have one of that name too.
 ROW = "_row_number"
 
 
@@ -31,19 +30,33 @@ def spread_join(facts: DataFrame, dim: DataFrame, keys: list[str], by: list[str]
     return salted_join(facts, dim, keys, how, F.struct(*by), parts)
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs written once with a number for each row, ROW: what a stage decides on the number hits
-    that row only, whatever other rows have the same id or none."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that docs does not have."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = ROW) -> DataFrame:
-    """Rows of docs (numbered) whose key is not in dropped (column key, a written table), without
-    the numbers.  The keys are broadcast when they are counted to be few; otherwise both sides are
-    shuffled on the key."""
-    few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti").drop(ROW)
+def content_key(*columns: Column | str) -> Column:
+    """128 bits of hashes of a row's contents, in hex.  Rows with all columns equal share it, and
+    what holds for one of them holds for the others; nothing has to be written to name a row."""
+    return F.concat(*[F.lpad(F.hex(h), 16, "0")
+                      for h in (F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns))])
 
 
-__all__ = ["BLANKS", "BROADCAST_IDS", "PARTS", "ROW", "materialize", "numbered", "spread_join",
-           "table", "text_or_empty", "without"]
+def without(docs: DataFrame, key: str, dropped: DataFrame, name: str,
+            once: DataFrame | None = None) -> DataFrame:
+    """Rows of docs whose `key` is not in dropped, and only one row for each key in once (tables
+    with the column key), without that column.  Rows that are certainly in neither, by a filter of
+    bounded size, are not shuffled."""
+    special = dropped.select(key) if once is None else dropped.select(key).unionByName(
+        once.select(key))
+    found = materialize(membership(special, [key]), f"{name}-filter")
+    kept = maybe_in(docs, [key], found).join(dropped.select(key).distinct(), key, "left_anti")
+    if once is not None:
+        kept = kept.dropDuplicates([key])
+    return maybe_in(docs, [key], found, inside=False).unionByName(kept).drop(key)
+
+
+__all__ = ["BLANKS", "PARTS", "ROW", "content_key", "fresh", "materialize", "spread_join", "table",
+           "text_or_empty", "without"]

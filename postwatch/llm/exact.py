@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from postwatch.llm.common import (
     BLANKS,
     ROW,
+    content_key,
+    fresh,
     materialize,
-    numbered,
     spread_join,
     table,
     text_or_empty,
     without,
 )
+from postwatch.operators.membership import maybe_in, membership
 
 #: Parts over which the copies of one text are merged before they meet.
 SALTS = 256
@@ -31,22 +33,31 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per row of docs: doc_id, keep_id, group_size, kept, digest, and `row` if given.
 
     Texts are equal when they are identical after white space is deleted.  Of equal texts the one
-    with the most code points stays, then the smallest doc_id.  Copies are combined within each
-    input partition (partial aggregation), then over partitions that share a salt, then over salts;
-    each time the grouping key holds the digest and the whole text, so a collision of digests
-    never merges two texts.
+    with the most code points stays, then the smallest doc_id.  Digests are counted first; a digest
+    of one row is a group of one.  The texts of the others are combined within each input partition
+    (partial aggregation), then over partitions that share a salt, then over salts; each time the
+    grouping key holds the digest and the whole text, so a collision of digests never merges two
+    texts.
 
     A null text counts as empty.  A null doc_id loses against any other; rows that share a doc_id
-    and a text are kept or dropped together, unless `row` names a column of row numbers: then the
-    smallest number of them stays, and of each group exactly one row.  Other columns are ignored.  No rows give no rows.
+    and a text are kept or dropped together, unless `row` names a column that tells them apart: then
+    the largest in it stays.  Other columns are ignored.  No rows give no rows.
     `digest` replaces SHA-256 over the column `_norm`, for tests.
     """
+    number = F.col(row) if row else F.lit(0)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), squeezed(text).alias("_norm"),
-                       F.length(text_or_empty(text)).alias("_n"),
-                       (F.col(row) if row else F.lit(0).cast("long")).alias(ROW))
+                       F.length(text_or_empty(text)).alias("_n"), number.alias(ROW))
     rows = rows.withColumn("digest", F.sha2("_norm", 256) if digest is None else digest)
+    members = materialize(rows.select("doc_id", "digest", ROW), "exact-members")
+    repeated = members.groupBy("digest").agg(F.count("*").alias("_rows")).where("_rows > 1")
+    found = materialize(membership(repeated, ["digest"]), "exact-filter")
+    alone = maybe_in(members, ["digest"], found, inside=False).select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"), "digest", ROW)
+
     best = F.max(F.struct("_n", (-F.col("doc_id")).alias("_neg"),
-                           (-F.col(ROW)).alias("_row"))).alias("_best")
+                          F.col(ROW).alias("_row"))).alias("_best")
+    rows = maybe_in(rows, ["digest"], found)
     local = (rows.withColumn("_salt", F.spark_partition_id() % salts)
              .groupBy("digest", "_norm", "_salt").agg(best, F.count("*").alias("group_size")))
     merged = local.groupBy("digest", "_norm").agg(
@@ -55,14 +66,14 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = merged.groupBy("digest").agg(
         F.count("*").alias("_texts"), F.max("_best").alias("_best"),
         F.sum("group_size").alias("group_size"))
-    out = _membership(rows, merged, texts)
+    out = alone.unionByName(_membership(maybe_in(members, ["digest"], found), rows, merged, texts))
     return out.withColumnRenamed(ROW, row) if row else out.drop(ROW)
 
 
-def _membership(rows: DataFrame, merged: DataFrame, texts: DataFrame) -> DataFrame:
-    keep = [(-F.col("_best._neg")).alias("keep_id"), (-F.col("_best._row")).alias("_keep_row")]
+def _membership(members: DataFrame, rows: DataFrame, merged: DataFrame,
+                texts: DataFrame) -> DataFrame:
+    keep = [(-F.col("_best._neg")).alias("keep_id"), F.col("_best._row").alias("_keep_row")]
     texts = materialize(texts, "exact-digests")
-    members = materialize(rows.select("doc_id", "digest", ROW), "exact-members")
     out = spread_join(members, texts.where("_texts = 1").select("digest", *keep, "group_size"),
                       ["digest"], ["doc_id", ROW])
     shared = texts.where("_texts > 1").select("digest")
@@ -85,10 +96,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of docs that stay when each group of equal texts keeps one."""
-    docs = numbered(docs, "exact-docs")
-    groups = exact_groups(docs, row=ROW)
-    return without(docs, materialize(groups.where("not kept").select(ROW), "exact-dropped"))
+    """One row of docs for each group of equal texts, chosen as exact_groups does; of rows with
+    equal length and doc_id, or none, the largest in a hash of all columns, of rows that are the
+    same in all columns any one.  Empty and null texts are one group.  All columns stay as they
+    are; no rows give no rows."""
+    row = fresh(docs, ROW)
+    keyed = docs.withColumn(row, content_key(*docs.columns))
+    groups = materialize(exact_groups(keyed, row=row).select(row, "kept"), "exact-groups")
+    again = groups.where("kept").groupBy(row).agg(F.count("*").alias("_n")).where("_n > 1")
+    return without(keyed, row, groups.where("NOT kept"), "exact", again)
 
 
 OP9_SQL = r"""

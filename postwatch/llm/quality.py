@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from postwatch.llm.common import (
     BLANKS,
     ROW,
+    content_key,
+    fresh,
     materialize,
-    numbered,
     spread_join,
     table,
     text_or_empty,
@@ -70,19 +71,20 @@ def line_key(host: Column, line: Column) -> Column:
 
 
 def base_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-               host: str = "source") -> DataFrame:
+               host: str = "source", row: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, the counts of the base rules, base_failed, and `lines`, an
     array of (key, chars) of its lines that hold a word."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
+                       (F.col(row) if row else F.lit(None).cast("int")).alias(ROW),
                        text_or_empty(text).alias("_text"), F.col(host).alias("_host"))
     parts = rows.select(
-        "doc_id", "_text", "_host",
+        "doc_id", ROW, "_text", "_host",
         F.filter(F.split("_text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "").alias("_words"),
         F.filter(F.split("_text", "\n"), lambda s: F.translate(s, BLANKS, "") != "")
         .alias("_lines"))
     text = F.col("_text")
     counted = parts.select(
-        "doc_id", F.size("_words").cast("long").alias("n_words"),
+        "doc_id", ROW, F.size("_words").cast("long").alias("n_words"),
         _chars(text).alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -103,8 +105,9 @@ def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   host: str = "source", limit: int = LINE_LIMIT,
-                  min_left: float = MIN_LEFT) -> DataFrame:
-    """One row per row of docs: the base counts, base_failed, removed_chars and kept.
+                  min_left: float = MIN_LEFT, row: str | None = None) -> DataFrame:
+    """One row per row of docs: the base counts, base_failed, removed_chars and kept, and the column
+    `row` if one is named.
 
     Lines are hashed per host.  Lines in more than `limit` different documents of their host are
     removed.  Only documents that are the same as a whole (equal lines in the same order) count
@@ -114,7 +117,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A null text counts as empty and fails; a null host is a host; a null doc_id is reported as null;
     repeated rows are documents of their own.  Other columns are ignored; no rows give no rows.
     """
-    base = base_rules(docs, doc_id, text, host).withColumn(
+    base = base_rules(docs, doc_id, text, host, row).withColumn(
         "uid", F.monotonically_increasing_id())
     base = materialize(base, "quality-base")
     lines = base.select("uid", F.explode("lines").alias("line"),
@@ -128,7 +131,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = F.col("word_chars") - F.col("removed_chars")
     kept = ~F.col("base_failed") & (left >= min_left * F.col("word_chars"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                      "n_repeat_words", "base_failed", kept.alias("kept"), "removed_chars")
+                      "n_repeat_words", "base_failed", kept.alias("kept"), "removed_chars",
+                      *([F.col(ROW).alias(row)] if row else []))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +140,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of docs that the rules keep; each row is judged for itself, also without a doc_id."""
-    docs = numbered(docs, "quality-docs")
-    rejected = quality_rules(docs, doc_id=ROW).where("NOT kept").select(
-        F.col("doc_id").alias(ROW))
-    return without(docs, materialize(rejected, "quality-rejected"))
+    """Rows of docs that the rules keep, each judged for itself, also without a doc_id; repeated
+    rows stay or go together.  A null text fails.  All columns stay as they are; no rows give no
+    rows."""
+    row = fresh(docs, ROW)
+    keyed = docs.withColumn(row, content_key(*docs.columns))
+    rejected = quality_rules(keyed, row=row).where("NOT kept").select(row)
+    return without(keyed, row, materialize(rejected, "quality-rejected"), "quality")

@@ -12,8 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwatch.llm.common import ROW, materialize, numbered, spread_join, table, without
-from postwatch.llm.components import components
+from postwatch.llm.common import (
+    ROW,
+    content_key,
+    fresh,
+    materialize,
+    spread_join,
+    table,
+    without,
+)
+from postwatch.operators.components import components
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -149,7 +157,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fingerprint 0 and links like any other.  A null doc_id is reported but never a component's
     name, unless all of the component are null.  No rows give no rows.
     """
-    number = F.col(row) if row else F.lit(0).cast("long")
+    number = F.col(row) if row else F.lit(0)
     rows = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                                    fingerprints(text).alias("fp"), number.alias(ROW)), "simhash")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", ROW)).alias("rep")
@@ -172,8 +180,12 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of docs that stay when each component keeps the row of its smallest doc_id, of equal
-    ids the first in number."""
-    docs = numbered(docs, "simhash-docs")
-    groups = near_groups(docs, row=ROW)
-    return without(docs, materialize(groups.where("NOT kept").select(ROW), "simhash-dropped"))
+    """One row of docs for each component: of smallest doc_id (null last), of equal ids the smallest
+    in a hash of all columns, of rows that are the same in all columns any one.  Null, empty and
+    blank texts have fingerprint 0 and are one component.  All columns stay as they are; no rows
+    give no rows."""
+    row = fresh(docs, ROW)
+    keyed = docs.withColumn(row, content_key(*docs.columns))
+    groups = materialize(near_groups(keyed, row=row).select(row, "kept"), "simhash-groups")
+    again = groups.where("kept").groupBy(row).agg(F.count("*").alias("_n")).where("_n > 1")
+    return without(keyed, row, groups.where("NOT kept"), "simhash", again)

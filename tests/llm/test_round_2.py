@@ -169,3 +169,18 @@ def test_lines_of_several_documents_without_or_with_one_id(spark):
         for r in lines.line_groups(docs).collect() if r["group_lines"] > 1}
     assert got == {((1, 0), (1, 0), 3), ((None, 0), (1, 0), 3), ((None, 3), (1, 0), 3),
                    ((2, 1), (2, 1), 3), ((7, 1), (2, 1), 3), ((None, 0), (2, 1), 3)}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that are named like those of the operators stay as they are in every stage."""
+    names = ["_row_number", "_known", "_word", "_bits", "_mask", "digest", "kept", "_part"]
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame(
+        [(i, f"{text} {i}", "en", "s", *[f"{n}{i}" for n in names]) for i in range(20)],
+        "doc_id long, text string, lang string, source string, "
+        + ", ".join(f"{n} string" for n in names))
+    for keep in (quality.keep_good, langid.keep_known, exact.keep_one, simhash.keep_one):
+        out = keep(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
