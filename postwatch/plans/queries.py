@@ -21,6 +21,7 @@ from postwatch.plans.views import doc_postings, event_sightings, order_postings,
 from postwatch.schema import SEEN, names
 from postwatch.session import scratch_path, spread
 from postwatch.streaming import runs
+from postwatch.streaming import seen as seen_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -261,8 +262,8 @@ def seen_log(spark: SparkSession, sf: str) -> DataFrame:
     return log.read()
 
 
-@query(SEEN_SQL)
-def stream_seen_state(spark: SparkSession, sf: str) -> DataFrame:
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of sightings."""
     source = table(spark, sf, "events")
     stream = (
         spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet")
@@ -276,11 +277,27 @@ def stream_seen_state(spark: SparkSession, sf: str) -> DataFrame:
         stream.props.alias("title"), stream.user_id.cast("string").alias("company"),
     )
     run = F.datediff(rows.run_date, F.lit(dt.date(2024, 1, 1)))
-    output = scratch_path(spark, "stream-state")
-    runs.stream_seen_state(
-        state.sightings(rows, run, rows.run_date), output, scratch_path(spark, "stream-check")
-    ).awaitTermination()
-    return runs.read_streamed_state(spark, output).select(names(SEEN))
+    return state.sightings(rows, run, rows.run_date)
+
+
+def _streamed(spark: SparkSession, sf: str) -> tuple[str, str]:
+    output, checkpoint = scratch_path(spark, "stream-flags"), scratch_path(spark, "stream-check")
+    seen_stream.stream_seen_state(_event_stream(spark, sf), output, checkpoint).awaitTermination()
+    return output, checkpoint
+
+
+@query(SEEN_SQL)
+def stream_seen_state(spark: SparkSession, sf: str) -> DataFrame:
+    _, checkpoint = _streamed(spark, sf)
+    return seen_stream.read_streamed_state(spark, checkpoint).select(names(SEEN))
+
+
+@query("""SELECT user_id || '-' || event_type AS fingerprint, event_id AS ingest_seq,
+    min(CAST(ts AS DATE)) OVER (PARTITION BY user_id, event_type) < CAST(ts AS DATE) AS is_known
+  FROM events""")
+def stream_known_flags(spark: SparkSession, sf: str) -> DataFrame:
+    output, _ = _streamed(spark, sf)
+    return seen_stream.read_flags(spark, output).select("fingerprint", "ingest_seq", "is_known")
 
 
 # --- filters ---------------------------------------------------------------------------------

@@ -5,14 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from postwatch.operators.publish import OfferTable
-from postwatch.operators.state import SIGHTINGS, SeenLog, fold_sightings
+from postwatch.operators.state import SeenLog
 from postwatch.plans.daily import daily_run
-from postwatch.schema import names
 
 
 def stream_new_postings(
@@ -38,28 +36,3 @@ def stream_new_postings(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def stream_seen_state(sightings: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Seen state kept by the stream itself: one streaming aggregation over sightings, state per
-    fingerprint in the state store, changed keys written per micro-batch.  The map-side partial
-    aggregation takes care of hot fingerprints."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
-
-    return (
-        fold_sightings(sightings)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def read_streamed_state(spark: SparkSession, output: str) -> DataFrame:
-    """Latest version of every key that stream_seen_state wrote."""
-    changes = spark.read.schema(SIGHTINGS + ", batch BIGINT").parquet(output)
-    latest = F.max_by(F.struct(*names(SIGHTINGS)), "batch").alias("row")
-    return changes.groupBy("fingerprint").agg(latest).select("row.*")

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from postwatch.functions.text import normalize_py
 from postwatch.operators import publish, state
 from postwatch.plans.daily import daily_run
 from postwatch.schema import EMPLOYERS, POSTINGS, names
-from postwatch.streaming import runs
+from postwatch.streaming import runs, seen
 from test_operators import EMPLOYER_ROWS, posting
 
 DAY = dt.date(2026, 7, 4)
@@ -113,20 +114,62 @@ def test_stream_equals_batches(spark, tmp_path):
         assert a == b and a
 
 
-def test_stream_seen_state(spark, tmp_path):
-    rng = random.Random(2)
-    rows = [(f"f{rng.randrange(9)}", i // 20, i, dt.date(2026, 7, 1 + i // 20)) for i in range(100)]
+def sightings_of(spark, rows):
     df = spark.createDataFrame(rows, "fingerprint string, run long, seq long, day date")
-    sightings = df.selectExpr(
+    return df.selectExpr(
         "fingerprint", "run as first_run", "seq as first_seq", "day as first_seen",
         "run as last_run", "day as last_seen", "'s' as source", "'u' || seq as url",
         "'t' as title", "'c' as company").select(names(state.SIGHTINGS))
-    for part in range(5):
-        sightings.filter(F.col("first_run") == part).coalesce(1).write.mode("append").parquet(
-            str(tmp_path / "in"))
-    stream = spark.readStream.schema(state.SIGHTINGS).option("maxFilesPerTrigger", 1).parquet(
-        str(tmp_path / "in"))
-    runs.stream_seen_state(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = runs.read_streamed_state(spark, str(tmp_path / "out"))
+
+
+def test_stream_seen_state_over_a_restart(spark, tmp_path):
+    """Flags and state of a stream that is stopped and started again equal those of plain loops."""
+    rng = random.Random(2)
+    rows = [(rng.choice([None, *(f"f{k}" for k in range(25))]), i // 40, i,
+             None if i // 40 == 3 else dt.date(2026, 7, 1 + i // 40)) for i in range(240)]
+    rows += [("hot", 5, 1000 + i, dt.date(2026, 7, 6)) for i in range(500)]
+    sightings = sightings_of(spark, rows)
+    landing, out, check = (str(tmp_path / name) for name in ("in", "out", "cp"))
+    stream = lambda: spark.readStream.schema(state.SIGHTINGS).option(
+        "maxFilesPerTrigger", 1).parquet(landing)
+    for some in (range(0, 3), range(3, 7)):
+        for part in some:
+            # Runs come in order but for the last file, which is late; run 5 spans two files.
+            wanted = sightings.filter(
+                {5: "first_run = 5 and first_seq % 2 = 0", 6: "first_run = 5 and first_seq % 2 = 1"}
+                .get(part, f"first_run = {part}"))
+            wanted.coalesce(1).write.mode("append").parquet(landing)
+        seen.stream_seen_state(stream(), out, check).awaitTermination()
+    first = {}
+    for fingerprint, run, *_ in rows:
+        first[fingerprint] = min(run, first.get(fingerprint, run))
+    got = {r.ingest_seq: r.is_known for r in seen.read_flags(spark, out).collect()}
+    assert got == {seq: first[fingerprint] < run for fingerprint, run, seq, _ in rows}
+    folded = seen.read_streamed_state(spark, check)
     want = state.fold_sightings(sightings)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, folded.collect())) == sorted(map(str, want.collect()))
+
+
+def test_late_runs_fold_like_a_batch():
+    rng = random.Random(3)
+    rows = [dict(first_run=rng.randrange(5), first_seq=i, first_seen=i, last_seen=i, source=i,
+                 url=i, title=i, company=i) for i in range(60)]
+    for row in rows:
+        row["last_run"] = row["first_run"]
+    merged = None
+    for row in rows:
+        merged = seen.merge(merged, row)
+    least = min(rows, key=lambda r: (r["first_run"], r["first_seq"]))
+    assert merged["url"] == least["url"] and merged["first_seen"] == least["first_seen"]
+    assert merged["last_run"] == max(r["last_run"] for r in rows)
+
+
+def test_stream_forgets_after_the_ttl(spark, tmp_path):
+    landing, out, check = (str(tmp_path / name) for name in ("in", "out", "cp"))
+    for part in range(2):
+        sightings_of(spark, [("f", part, part, DAY)]).write.mode("append").parquet(landing)
+        if part:
+            time.sleep(2)
+        stream = spark.readStream.schema(state.SIGHTINGS).parquet(landing)
+        seen.stream_seen_state(stream, out, check, dt.timedelta(seconds=1)).awaitTermination()
+    assert {r.is_known for r in seen.read_flags(spark, out).collect()} == {False}
