@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postwatch.operators.components import components
 from postwatch.operators.skew import salted_join
-from postwatch.session import materialize
-
-#: Rows of a group of conflicting postings that one task settles in order.
-GROUP_ROWS = 1_000_000
+from postwatch.session import discard, materialize
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str = "ingest_seq") -> DataFrame:
@@ -56,80 +49,81 @@ def row_cap(
     return (kept if uncapped is None else kept.unionByName(uncapped)).drop("_cap")
 
 
-def _taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sequential pass over the groups of a partition that is sorted by group and order."""
-    group, firsts, seconds = None, set(), set()
-    for batch in batches:
-        taken = []
-        for of, row, first, second in zip(batch["_group"], batch["_row"], batch["_k1"],
-                                          batch["_k2"]):
-            if of != group:
-                group, firsts, seconds = of, set(), set()
-            if first not in firsts and second not in seconds:
-                firsts.add(first)
-                seconds.add(second)
-                taken.append(row)
-        yield pd.DataFrame({"_row": np.array(taken, "int64")})
-
-
-def _conflicts(rows: DataFrame) -> DataFrame:
-    """Links of each row to the smallest row with its first, and with its second, key."""
-    parts = []
-    for key in ("_k1", "_k2"):
-        least = rows.groupBy(key).agg(F.min("_row").alias("v"))
-        parts.append(salted_join(rows.select("_row", key), least, [key], "inner", F.col("_row"))
-                     .select(F.col("_row").alias("u"), "v"))
-    return parts[0].unionByName(parts[1]).where("u <> v")
+def _digest(columns: list[Column]) -> Column:
+    """128 bits for the values of a key; null is a value like any other."""
+    named = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns)])
+    return F.unhex(F.md5(F.to_json(named, {"ignoreNullFields": "false"})))
+
+
+def _places(open_rows: DataFrame, key: str) -> DataFrame:
+    """(_row, _before): the first row of each key, with no row before it, and the second, with the
+    first before it.  At most two rows per key leave a task."""
+    window = Window.partitionBy(key).orderBy("_order")
+    top = open_rows.select(key, "_order", "_row").withColumn(
+        "_rn", F.row_number().over(window)).filter("_rn <= 2")
+    pair = top.groupBy(key).agg(F.min_by("_row", "_rn").alias("a"), F.max_by("_row", "_rn").alias("b"))
+    none = F.lit(None).cast("long")
+    both = F.array(F.struct(F.col("a").alias("_row"), none.alias("_before")),
+                   F.struct(F.col("b").alias("_row"), F.col("a").alias("_before")))
+    return pair.select(F.inline(F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)))
+
+
+def _settled(open_rows: DataFrame) -> tuple[DataFrame, int]:
+    """(_row) of open rows that are accepted for certain, and the number of pointer jumps.
+
+    A row that no other open row precedes in either group is accepted.  A row that one other row
+    precedes is accepted just when that one is rejected, so such rows form chains; every jump
+    doubles the length of the chain that a row has behind it."""
+    second = _places(open_rows, "_k2").withColumnRenamed("_before", "_other")
+    placed = _places(open_rows, "_k1").join(second, "_row").filter(
+        "_before is null or _other is null")
+    first = F.coalesce("_before", "_other")
+    chain = placed.select("_row", F.coalesce(first, F.col("_row")).alias("_to"),
+                          first.isNotNull().alias("_odd"), first.isNull().alias("_ends"))
+    jumps, moved = 0, True
+    chain = materialize(chain, "greedy-chain")
+    while moved:
+        behind = chain.select(F.col("_row").alias("_to"), F.col("_to").alias("_next"),
+                              F.col("_odd").alias("_o"), F.col("_ends").alias("_e"))
+        before, chain = chain, materialize(
+            chain.join(behind, "_to", "left").select(
+                "_row", F.coalesce("_next", "_to").alias("_to"),
+                (F.col("_odd") != (F.coalesce("_o", F.lit(False)))).alias("_odd"),
+                F.coalesce("_e", F.lit(False)).alias("_ends"),
+                (F.coalesce("_next", "_to") != F.col("_to")).alias("_moved")), "greedy-chain")
+        moved = not chain.filter("_moved").isEmpty()
+        discard(before)
+        jumps += 1
+    return chain.filter("_ends and not _odd").select("_row"), jumps
 
 
 def greedy_or_dedup(
     df: DataFrame, key1: str, key2: list[str], order: str = "ingest_seq",
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Rows that a sequential pass by `order` would accept when it takes a row only if neither
     its key1 nor its key2 was accepted before.  A null key is a value like any other.
 
-    Rows that can influence each other are connected over shared keys, so the table falls into
-    components, found in a number of rounds that grows with the logarithm of the longest chain.
-    A component of at most `group_rows` rows is settled by the sequential pass itself, streamed
-    in one task; larger ones go through rounds (Blelloch, Fineman, Shun, SPAA 2012): the first
-    open row of both its groups cannot be beaten, is accepted, and rejects all that share a key
-    with it.  Each of those rounds accepts at least one row and removes it by its number, so it
-    ends.  `order` must be unique and not null.  Runs jobs."""
-    named = df.select(
-        F.to_json(F.struct(F.col(key1).alias("a")), {"ignoreNullFields": "false"}).alias("_k1"),
-        F.to_json(F.struct(*[F.col(k).alias(f"b{i}") for i, k in enumerate(key2)]),
-                  {"ignoreNullFields": "false"}).alias("_k2"),
-        F.col(order).alias("_order"))
+    Rounds (after Blelloch, Fineman, Shun, SPAA 2012): the first open row of both its groups cannot
+    be beaten and is accepted; chains of rows that wait for one other row each are settled in the
+    same round by pointer jumping; then all rows that share a key with an accepted one go.  Every
+    round accepts the first open row at least, so it ends: for orders that do not depend on the keys
+    after some log(n) rounds, for a chain in order after one round of log(n) jumps.  One path at all
+    sizes; no task gets a group or component.  `order` must be unique and not null.  Runs jobs."""
+    named = df.select(_digest([F.col(key1)]).alias("_k1"),
+                      _digest([F.col(k) for k in key2]).alias("_k2"), F.col(order).alias("_order"))
     # Rows with both keys equal: only the first can win.  Combines on the map side.
     rows = materialize(named.groupBy("_k1", "_k2").agg(F.min("_order").alias("_order")).withColumn(
         "_row", F.monotonically_increasing_id()), "greedy-rows")
-    linked = components(_conflicts(rows)).withColumnsRenamed({"node": "_row", "component": "_group"})
-    grouped = materialize(rows.join(linked, "_row", "left").withColumn(
-        "_group", F.coalesce("_group", "_row")), "greedy-groups")
-    sizes = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.filter(F.col("_size") > group_rows).select("_group")
-    small = salted_join(grouped, large, ["_group"], "left_anti", F.col("_row"))
-    settled = (small.repartition("_group").sortWithinPartitions("_group", "_order")
-               .select("_group", "_row", "_k1", "_k2").mapInPandas(_taken, "_row long"))
-    won = [settled, *_by_rounds(
-        salted_join(grouped, large, ["_group"], "left_semi", F.col("_row")).drop("_group"))]
-    accepted = rows.join(reduce(DataFrame.unionByName, won), "_row", "left_semi")
-    return df.join(accepted.select(F.col("_order").alias(order)), order, "left_semi").select(
-        df.columns)
-
-
-def _by_rounds(rows: DataFrame) -> list[DataFrame]:
-    """Winners of each round, as written tables; each round reads what the last one left open."""
-    open_rows, won = materialize(rows, "greedy-open"), []
-    while not open_rows.isEmpty():
-        first = [open_rows.groupBy(k).agg(F.min("_order").alias("_order")) for k in ("_k1", "_k2")]
-        # Joined on the unique order, so hot keys do not matter here.
-        winners = materialize(first[0].join(first[1], "_order").select("_order", "_k1", "_k2"),
-                              "greedy-won")
+    open_rows, won = rows, []
+    while True:
+        settled, _ = _settled(open_rows)
+        winners = materialize(open_rows.join(settled, "_row", "left_semi"), "greedy-won")
+        won.append(winners)
+        left = open_rows
         for key in ("_k1", "_k2"):
-            open_rows = salted_join(open_rows, winners.select(key), [key], "left_anti",
-                                    F.col("_row"))
-        won.append(rows.join(winners.select("_order"), "_order", "left_semi").select("_row"))
-        open_rows = materialize(open_rows, "greedy-open")
-    return won
+            left = salted_join(left, winners.select(key), [key], "left_anti", F.col("_row"))
+        open_rows = materialize(left, "greedy-open")
+        if open_rows.isEmpty():
+            break
+    accepted = reduce(DataFrame.unionByName, won).select(F.col("_order").alias(order))
+    return df.join(accepted, order, "left_semi").select(df.columns)

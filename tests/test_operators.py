@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from postwatch.functions.text import fingerprint, normalize_py
-from postwatch.operators import components as components_module
 from postwatch.operators import dedup, filters, lexicon, match, publish, score, skew, state, stats
 from postwatch.plans import defaults
 from postwatch.schema import EMPLOYERS, POSTING_COLUMNS, POSTINGS
@@ -118,8 +117,8 @@ def test_greedy_small(spark, rows):
     assert sorted(r.ingest_seq for r in got) == greedy(rows)
 
 
-@pytest.mark.parametrize("seed, hot, group", [(1, 0.0, 10_000), (2, 0.4, 10_000), (3, 0.4, 20)])
-def test_greedy_random(spark, seed, hot, group):
+@pytest.mark.parametrize("seed, hot", [(1, 0.0), (2, 0.4), (3, 0.9)])
+def test_greedy_random(spark, seed, hot):
     rng = random.Random(seed)
     rows = [
         (rng.choice([f"u{rng.randrange(150)}"] * 9 + [None]),
@@ -127,19 +126,21 @@ def test_greedy_random(spark, seed, hot, group):
         for i in range(600)
     ]
     df = spark.createDataFrame(rows, "url string, a string, b string, ingest_seq long")
-    got = dedup.greedy_or_dedup(df, "url", ["a", "b"], group_rows=group).collect()
+    got = dedup.greedy_or_dedup(df, "url", ["a", "b"]).collect()
     assert sorted(r.ingest_seq for r in got) == greedy(rows)
 
 
-def test_greedy_long_chain_in_few_rounds(spark, monkeypatch):
-    written = []
-    monkeypatch.setattr(components_module, "materialize",
-                        lambda df, name: written.append(name) or materialize(df, name))
-    rows = [(f"u{i // 2}", "p", str((i + 1) // 2), i) for i in range(10_000)]
-    df = spark.createDataFrame(rows, "url string, a string, b string, ingest_seq long")
-    got = dedup.greedy_or_dedup(df.repartition(8), "url", ["a", "b"]).collect()
-    assert sorted(r.ingest_seq for r in got) == greedy(rows)
-    assert len(written) < 30
+def test_greedy_long_chain_in_few_jumps(spark, monkeypatch):
+    """100,000 rows, each of which shares a key with the one before: one round of log2 jumps."""
+    rounds = []
+    settled = dedup._settled
+    monkeypatch.setattr(dedup, "_settled", lambda df: rounds.append(settled(df)) or rounds[-1])
+    n = 100_000
+    df = spark.range(n).selectExpr(
+        "concat('u', id div 2) url", "'p' a", "cast((id + 1) div 2 as string) b", "id ingest_seq")
+    got = dedup.greedy_or_dedup(df.repartition(8), "url", ["a", "b"]).select("ingest_seq").collect()
+    assert sorted(r.ingest_seq for r in got) == list(range(0, n, 2))
+    assert len(rounds) == 1 and rounds[0][1] <= 19
 
 
 def test_employer_candidates_grow_linearly(spark):
