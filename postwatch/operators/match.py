@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from postwatch.functions.numbers import round_exact
 from postwatch.functions.places import contains_any
 from postwatch.functions.text import normalize, normalize_py
 from postwatch.operators.skew import dealt, salted_join
@@ -143,26 +145,47 @@ def tier_score(tier: Column, scores: dict[int, int] = defaults.TIER_SCORES,
     return score
 
 
-def best_ratio(targets: list[str]):
-    """Arrow UDF: best similarity ratio of a normalized title to the targets, times 100, to one
-    decimal.  Ratcliff-Obershelp as difflib computes it, title first."""
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matchers = [SequenceMatcher(None, "", t) for t in targets]
-
-        def best(title: str) -> float:
-            top = 0.0
-            for m in matchers:
-                m.set_seq1(title)
-                if m.real_quick_ratio() > top and m.quick_ratio() > top:
-                    top = max(top, m.ratio())
-            return round(top * 100, 1)
-
-        for titles in batches:
-            yield titles.map(best)
-
-    return score
+def matched_characters(title: str, target: str) -> int:
+    """Characters in the matching blocks of Ratcliff and Obershelp: the longest common part, of
+    equal ones the first in the title and then in the target, and the same left and right of it."""
+    a, b = (np.array([ord(c) for c in text], "int64") for text in (title, target))
+    total, open_parts = 0, [(0, len(a), 0, len(b))]
+    while open_parts:
+        a_from, a_to, b_from, b_to = open_parts.pop()
+        part, best, ends = b[b_from:b_to], 0, (0, 0)
+        runs = np.zeros(b_to - b_from + 1, "int64")  # length of the common part that ends here
+        for i in range(a_from, a_to):
+            runs[1:] = np.where(part == a[i], runs[:-1] + 1, 0)
+            longest = int(runs.max())
+            if longest > best:
+                best, ends = longest, (i + 1, b_from + int(runs.argmax()))
+        if best:
+            total += best
+            open_parts += [(a_from, ends[0] - best, b_from, ends[1] - best),
+                           (ends[0], a_to, ends[1], b_to)]
+    return total
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity(titles: pd.Series, targets: pd.Series) -> pd.Series:
+    """Twice the matched characters by those of both."""
+    return pd.Series([2.0 * matched_characters(a, b) / (len(a) + len(b)) if a or b else 1.0
+                      for a, b in zip(titles, targets)], dtype="float64")
+
+
+def most_similarity(title: Column, targets: list[str]) -> Column:
+    """Per target (most, target): the similarity if all characters that the two share, each as often
+    as the rarer side has it, were matched.  No pair is more similar than that."""
+    rows = F.array(*[F.struct(
+        F.lit(t).alias("target"), F.lit(len(t)).alias("size"),
+        F.array(*[F.struct(F.lit(c).alias("c"), F.lit(n).alias("n"))
+                  for c, n in sorted(Counter(t).items())]).alias("chars")) for t in targets])
+    held = lambda x: F.length(title) - F.length(F.replace(title, x["c"], F.lit("")))
+    shared = lambda t: F.aggregate(
+        t["chars"], F.lit(0), lambda total, x: total + F.least(x["n"], held(x)))
+    return F.transform(rows, lambda t: F.struct(
+        (2.0 * shared(t) / (F.length(title) + t["size"])).alias("most"),
+        t["target"].alias("target")))
 
 
 def clean_targets(targets: list[str]) -> list[str]:
@@ -170,15 +193,39 @@ def clean_targets(targets: list[str]) -> list[str]:
     return sorted({t for t in map(normalize_py, targets) if t})
 
 
+def fuzzy_pairs(titles: DataFrame, targets: list[str]) -> DataFrame:
+    """(title_norm, first, others) per title: its similarity to the target that shares the most
+    characters with it, and the targets that may be more similar still."""
+    bounded = titles.withColumn("_all", most_similarity(F.col("title_norm"), targets)).withColumn(
+        "_top", F.array_max("_all"))
+    return bounded.withColumn("first", similarity("title_norm", "_top.target")).select(
+        "title_norm", "first", F.transform(
+            F.filter("_all", lambda t: (t["most"] > F.col("first"))
+                     & (t["target"] != F.col("_top.target"))),
+            lambda t: t["target"]).alias("others"))
+
+
 def fuzzy_lookup(named: DataFrame, targets: list[str]) -> DataFrame:
-    """(title_norm, fuzzy) per distinct title_norm that contains no target."""
+    """(title_norm, fuzzy) per distinct title_norm that contains no target: its best similarity to a
+    target, times 100, to one decimal.
+
+    Pairs of a title and a target are bounded by the characters they share, in expressions.  The
+    pair of the highest bound is compared first; only pairs whose bound is above that are rows
+    of the second comparison.  A title stays in its partition through both."""
     wanted = clean_targets(targets)
     misses = named.select("title_norm").filter(~contains_any(F.col("title_norm"), wanted))
     # Titles are short and their comparison is not: keep as many tasks as there are shuffle
     # partitions, where AQE would pack millions of titles into one by their size.
     tasks = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = misses.distinct().repartition(tasks, F.xxhash64("title_norm"))
-    return dealt.withColumn("fuzzy", best_ratio(wanted)("title_norm"))
+    dealt_titles = misses.distinct().repartition(tasks, "title_norm")
+    if not wanted:
+        return dealt_titles.withColumn("fuzzy", F.lit(0.0))
+    pairs = fuzzy_pairs(dealt_titles, wanted).select(
+        "title_norm", "first", F.explode_outer("others").alias("target"))
+    compared = pairs.withColumn("_ratio", F.greatest("first", F.when(
+        F.col("target").isNotNull(), similarity("title_norm", F.coalesce("target", F.lit(""))))))
+    return compared.groupBy("title_norm").agg(
+        round_exact(F.max("_ratio") * 100, 1).alias("fuzzy"))
 
 
 def title_lookup(titles: DataFrame, targets: list[str]) -> DataFrame:

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,23 +94,40 @@ SOFT = {r"\bwith\b": 20, r"\bdans\b": 30, r"\bdie\b": 25, r"\bmulti[- ]sites?\b"
 TARGETS = ["chef de projet", "Data Engineer", "red ring", "large gear", "cold plate (H/F)"]
 MIN_SCORE, MIN_TIER1 = 68, 62
 
-# Part names are an adjective and a noun; the checking SQL gets the similarity of every name as
-# the standard library computes it.
+# Part names are an adjective and a noun; the checking SQL works out the similarity of every name
+# from its definition.
 _ADJECTIVES = ["red", "blue", "hot", "cold", "small", "large", "old", "new"]
 _NOUNS = ["ring", "widget", "bolt", "anvil", "plate", "rod", "gear", "gizmo"]
+LONGEST_SQL = """list_max(flatten(list_transform(range(1, length(a) + 1), lambda i:
+  list_transform(range(1, length(a) - i + 2), lambda k: {
+    'k': CASE WHEN contains(b, substr(a, i, k)) THEN k ELSE 0 END,
+    'i': -i, 'j': -instr(b, substr(a, i, k))}))))"""
 
 
 def fuzzy_sql(targets: list[str], shapes: list[str]) -> str:
-    wanted = match.clean_targets(targets)
-    rows = []
-    for shape in shapes:
-        for a in _ADJECTIVES:
-            for n in _NOUNS:
-                title = shape.format(f"{a} {n}")
-                ratios = [SequenceMatcher(None, title, t).ratio() for t in wanted]
-                value = 100.0 if any(t in title for t in wanted) else round(max(ratios) * 100, 1)
-                rows.append(f"('{title}', CAST({value} AS DOUBLE))")
-    return f"(VALUES {', '.join(rows)}) AS fz(title_norm, title_match)"
+    """Longest common part (the first in the title, then in the target), then the same left and
+    right of it."""
+    titles = ", ".join(f"('{shape.format(f'{a} {n}')}')"
+                       for shape in shapes for a in _ADJECTIVES for n in _NOUNS)
+    wanted = ", ".join(f"('{t}')" for t in match.clean_targets(targets))
+    return f"""(
+  WITH RECURSIVE pairs AS (
+    SELECT title, target FROM (VALUES {titles}) AS n(title), (VALUES {wanted}) AS w(target)),
+  parts AS (
+    SELECT title, target, a, b, {LONGEST_SQL} AS m
+    FROM (SELECT *, title AS a, target AS b FROM pairs)
+    UNION ALL
+    SELECT title, target, a, b, {LONGEST_SQL} AS m FROM (
+      SELECT title, target, unnest([substr(a, 1, -m.i - 1), substr(a, m.k - m.i)]) AS a,
+             unnest([substr(b, 1, -m.j - 1), substr(b, m.k - m.j)]) AS b
+      FROM parts WHERE m.k > 0)),
+  ratios AS (
+    SELECT title, target,
+           2.0::DOUBLE * sum(coalesce(m.k, 0)) / (length(title) + length(target)) AS r
+    FROM parts GROUP BY title, target)
+  SELECT title AS title_norm, CASE WHEN bool_or(contains(title, target)) THEN 100.0::DOUBLE
+         ELSE round_even(max(r) * 100, 1) END AS title_match
+  FROM ratios GROUP BY title) AS fz"""
 
 
 # --- text ------------------------------------------------------------------------------------

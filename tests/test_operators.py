@@ -360,6 +360,33 @@ def test_titles(spark):
     assert lookup.count() == len(got)
 
 
+def test_matched_characters_by_definition():
+    rng = random.Random(12)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("ab ce", k=rng.randrange(14))) for _ in range(2))
+        ratio = 2 * match.matched_characters(a, b) / (len(a) + len(b)) if a or b else 1.0
+        assert ratio == SequenceMatcher(None, a, b, autojunk=False).ratio(), (a, b)
+
+
+def test_few_title_pairs_are_compared_twice(spark):
+    """The bound by shared characters never excludes the best target, and leaves few others."""
+    rng = random.Random(6)
+    words = ["data", "chef", "projet", "service", "manager", "delivery", "ops", "qualité", "web"]
+    name = lambda n: " ".join(rng.choices(words, k=n))
+    targets = match.clean_targets([name(rng.randrange(1, 5)) for _ in range(60)])
+    titles = sorted({normalize_py(name(rng.randrange(1, 7)) + rng.choice(["", " x", " 12"]))
+                     for _ in range(300)})
+    df = spark.createDataFrame([(t,) for t in titles], "title_norm string")
+    pairs = match.fuzzy_pairs(df, targets).collect()
+    assert sum(len(r.others) for r in pairs) < 0.3 * len(titles) * len(targets)
+    got = {r.title_norm: r.fuzzy for r in match.fuzzy_lookup(df, targets).collect()}
+    want = {t: round(max(SequenceMatcher(None, t, w, autojunk=False).ratio() for w in targets) * 100, 1)
+            for t in titles if not any(w in t for w in targets)}
+    assert got == want
+    text = plan(match.fuzzy_lookup(df, targets))
+    assert text.count("Exchange") <= 2 * text.count("Exchange hashpartitioning")
+
+
 # --- scoring ------------------------------------------------------------------------------
 def test_score(spark, employers):
     rows = [
