@@ -7,10 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PROJECTED = 200
 CAP = 100
 _LITERAL_WORDS = re.compile(r"^\\b([^\W_]+(?: [^\W_]+)*)\\b$")
-_SINGLE_WORD = re.compile(r"^\\b(\w+)\\b$")
+_PHRASE = re.compile(r"^\\b(\w+(?: \w+)*)\\b$")
 
 
 def _present(low: Column, pattern: str) -> Column:
@@ -23,7 +22,8 @@ def _present(low: Column, pattern: str) -> Column:
 
 def lexicon_score(text: Column, lexicon: dict[str, int], cap: int = CAP) -> Column:
     """Sum of the weights of the patterns present in the lower-cased text (accents kept),
-    capped.  Presence, not count.  For lexicons of up to about MAX_PROJECTED patterns."""
+    capped.  Presence, not count.  One term a pattern: for lexicons of some dozens of patterns; see
+    score_lexicon for large ones."""
     low = F.lower(text)
     total = F.lit(0)
     for pattern, weight in lexicon.items():
@@ -31,22 +31,49 @@ def lexicon_score(text: Column, lexicon: dict[str, int], cap: int = CAP) -> Colu
     return F.least(F.lit(cap), total)
 
 
+def spaced_words(low: Column) -> Column:
+    """The words of a lower-cased text, each with the space behind it if one space alone stands
+    between it and the next word."""
+    return F.regexp_extract_all(low, F.lit(r"(?U)\w+(?: (?=\w))?"), F.lit(0))
+
+
+def word_runs(words: Column, lengths: list[int]) -> Column:
+    """The distinct runs of so many spaced_words, with one space between words; null stands for
+    runs with other separators."""
+    def runs(n: int) -> Column:
+        if n == 1:
+            return F.transform(words, lambda w: F.rtrim(w))
+
+        def run(w: Column, i: Column) -> Column:
+            some = [w, *[F.get(words, i + k) for k in range(1, n)]]
+            spaced = F.endswith(some[0], F.lit(" "))
+            for one in some[1:-1]:
+                spaced = spaced & F.endswith(one, F.lit(" "))
+            return F.when(spaced, F.concat(*some[:-1], F.rtrim(some[-1])))
+
+        return F.transform(words, run)
+
+    return F.array_distinct(F.concat(*[runs(n) for n in lengths]))
+
+
 def score_lexicon(df: DataFrame, text: str, lexicon: dict[str, int], out: str, key: str,
-                  cap: int = CAP, max_projected: int = MAX_PROJECTED) -> DataFrame:
-    """Add the score.  Small lexicons are a projection without a shuffle.  In large ones the
-    single-word patterns are looked up by token instead: key must then identify the row."""
-    if len(lexicon) <= max_projected:
-        return df.withColumn(out, lexicon_score(F.col(text), lexicon, cap))
-    single = {m[1]: w for p, w in lexicon.items() if (m := _SINGLE_WORD.match(p))}
-    other = {p: w for p, w in lexicon.items() if not _SINGLE_WORD.match(p)}
+                  cap: int = CAP) -> DataFrame:
+    """Add the score, for lexicons of any size; key must identify the row.
+
+    Patterns that are a word or a phrase of words are looked up: the runs of one, two, ... words of
+    a text meet them by equality, so their number does not matter and none is a regex.  Only
+    patterns that are more than words are terms of a projection."""
+    phrases = {m[1]: w for p, w in lexicon.items() if (m := _PHRASE.match(p))}
+    other = {p: w for p, w in lexicon.items() if not _PHRASE.match(p)}
     spark = df.sparkSession
-    weights = spark.createDataFrame(list(single.items()), "_token string, _weight int")
-    # A text's tokens stand next to each other, so the partial sums leave one row per text and
-    # only (key, sum) is shuffled.  The lexicon is a driver-side dict: bounded, broadcast.
+    weights = spark.createDataFrame(list(phrases.items()), "_run string, _weight int")
+    lengths = sorted({p.count(" ") + 1 for p in phrases}) or [1]
+    # A text's runs stand next to each other, so the partial sums leave one row per text and only
+    # (key, sum) is shuffled.  The lexicon is a driver-side dict: bounded, broadcast.
     hits = (
-        df.select(key, F.explode(F.array_distinct(F.split(F.lower(text), r"(?U)\W+")))
-                  .alias("_token"))
-        .join(F.broadcast(weights), "_token")
+        df.select(key, spaced_words(F.lower(text)).alias("_words"))
+        .select(key, F.explode(word_runs(F.col("_words"), lengths)).alias("_run"))
+        .join(F.broadcast(weights), "_run")
         .groupBy(key).agg(F.sum("_weight").alias("_hits"))
     )
     rest = lexicon_score(F.col(text), other, 1 << 30)

@@ -19,7 +19,7 @@ from postwatch.session import materialize
 
 
 #: Tokens of the longest phrase in the index.
-PHRASE = 8
+PHRASE = 16
 
 
 def _tokens(name: Column) -> Column:
@@ -27,10 +27,10 @@ def _tokens(name: Column) -> Column:
     return F.regexp_extract_all(name, F.lit(" ?(?:[a-z0-9]+|[^a-z0-9 ])"), F.lit(0))
 
 
-def _phrases(name: Column, longest: int = PHRASE) -> Column:
-    """Every part of a normalized name of at most `longest` tokens that stands in it at word
-    boundaries.  A name that occurs at word boundaries in another has all its phrases there."""
-    tokens = _tokens(name)
+def _phrases(tokens: Column, longest: int = PHRASE) -> Column:
+    """Every part of a normalized name, given as _tokens, of at most `longest` tokens that stands in
+    it at word boundaries.  A name that occurs at word boundaries in another has all its phrases
+    there.  tokens should be a column: it is read many times."""
 
     def of(i: Column, n: Column) -> Column:
         first, before, after = (F.get(tokens, x) for x in (i, i - 1, i + n))
@@ -65,7 +65,8 @@ def employer_needles(employers: DataFrame) -> DataFrame:
 
 def phrase_index(names: DataFrame) -> DataFrame:
     """(phrase, and the columns of names): an inverted index of names (name, ...)."""
-    return names.select("*", F.explode(_phrases(F.col("name"))).alias("phrase"))
+    cut = names.withColumn("_tokens", _tokens(F.col("name")))
+    return cut.select("*", F.explode(_phrases(F.col("_tokens"))).alias("phrase")).drop("_tokens")
 
 
 def _keys_of_long(index: DataFrame) -> DataFrame:
@@ -78,6 +79,23 @@ def _keys_of_long(index: DataFrame) -> DataFrame:
         rarest.alias("phrase"))
 
 
+def _long_matches(names: DataFrame, index: DataFrame) -> DataFrame:
+    """(name, m): companies with an employer's name of more than PHRASE tokens in them, or that are
+    such a name in an employer's."""
+    keyed = materialize(names.join(_keys_of_long(index), "name"), "match-long")
+    inside, around = index.filter("company"), index.filter("m is not null")
+    text = F.col("_text")
+    needles = salted_join(
+        inside.select(F.col("name").alias("_text"), "phrase"),
+        keyed.filter("m is not null").select("name", "phrase", "m"), ["phrase"], "inner", text,
+    ).filter(_word_match(F.col("name"), text)).select(text.alias("name"), "m")
+    companies = salted_join(
+        around.select(F.col("name").alias("_text"), "phrase", "m"),
+        keyed.filter("company").select("name", "phrase"), ["phrase"], "inner", text,
+    ).filter(_word_match(F.col("name"), text)).select("name", "m")
+    return needles.unionByName(companies)
+
+
 def employer_lookup(companies: DataFrame, employers: DataFrame) -> DataFrame:
     """(company_norm, employer, employer_tier) for the normalized companies that match, as a written
     table.
@@ -99,28 +117,18 @@ def employer_lookup(companies: DataFrame, employers: DataFrame) -> DataFrame:
     inside, around = index.filter("company"), index.filter("m is not null")
 
     short = names.filter("not long")
-    within = salted_join(
-        inside.select("name", "phrase"),
+    # One row a phrase on the right; distinct names on the left, which a skew join deals out.
+    within = inside.select("name", "phrase").join(
         short.filter("m is not null").select(F.col("name").alias("phrase"), "m"),
-        ["phrase"], "inner", F.col("name")).select("name", "m")
+        "phrase").select("name", "m")
     holding = around.groupBy("phrase").agg(F.min("m").alias("m")).join(
         short.filter("company").select(F.col("name").alias("phrase")), "phrase").select(
         F.col("phrase").alias("name"), "m")
 
-    keys = _keys_of_long(index)
-    keyed = materialize(names.join(keys, "name"), "match-long")
-    text, m = F.col("_text"), F.col("m")
-    long_needles = salted_join(
-        inside.select(F.col("name").alias("_text"), "phrase"),
-        keyed.filter("m is not null").select("name", "phrase", "m"), ["phrase"], "inner", text,
-    ).filter(_word_match(F.col("name"), text)).select(text.alias("name"), "m")
-    long_companies = salted_join(
-        around.select(F.col("name").alias("_text"), "phrase", "m"),
-        keyed.filter("company").select("name", "phrase"), ["phrase"], "inner", text,
-    ).filter(_word_match(F.col("name"), text)).select("name", "m")
-
-    found = within.unionByName(holding).unionByName(long_needles).unionByName(long_companies)
-    return materialize(found.groupBy("name").agg(F.min(m).alias("m")).select(
+    found = within.unionByName(holding)
+    if not names.filter("long").isEmpty():
+        found = found.unionByName(_long_matches(names, index))
+    return materialize(found.groupBy("name").agg(F.min("m").alias("m")).select(
         F.col("name").alias("company_norm"), F.col("m.employer").alias("employer"),
         F.col("m.tier").alias("employer_tier")), "match-found")
 

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postwatch.operators.membership import maybe_in, membership, merged
 from postwatch.operators.skew import salted_join
 from postwatch.schema import SEEN, SEEN_ATTRIBUTES, names
 
@@ -18,13 +19,22 @@ SIGHTINGS = """
     last_run BIGINT, last_seen DATE, source STRING, url STRING, title STRING, company STRING"""
 
 
-def flag_known(batch: DataFrame, seen: DataFrame, spread_by: str = "ingest_seq") -> DataFrame:
+def flag_known(batch: DataFrame, seen: DataFrame, spread_by: str = "ingest_seq",
+               filter_of_seen: DataFrame | None = None) -> DataFrame:
     """Add is_known: the fingerprint is in seen, as seen stood before this batch.  Two postings
-    of one batch with the same fingerprint are therefore both new."""
+    of one batch with the same fingerprint are therefore both new.
+
+    filter_of_seen: a membership filter of seen (SeenLog.seen_filter).  Postings that are not in it
+    are new and are not shuffled; the others are joined, so the result is the same."""
     known = seen.select("fingerprint").distinct().withColumn("is_known", F.lit(True))
-    return salted_join(
-        batch, known, ["fingerprint"], "left", F.col(spread_by)
+    asked = batch if filter_of_seen is None else maybe_in(batch, ["fingerprint"], filter_of_seen)
+    flagged = salted_join(
+        asked, known, ["fingerprint"], "left", F.col(spread_by)
     ).withColumn("is_known", F.coalesce("is_known", F.lit(False)))
+    if filter_of_seen is None:
+        return flagged
+    rest = maybe_in(batch, ["fingerprint"], filter_of_seen, inside=False)
+    return flagged.unionByName(rest.withColumn("is_known", F.lit(False)))
 
 
 def split_new_known(batch: DataFrame, seen: DataFrame,
@@ -99,6 +109,7 @@ class SeenLog:
     """Seen state on a shared file system, with no table format that can MERGE.
 
     log/run_seq=N/    sightings of run N, overwritten whole, so a retried run leaves one copy
+    filter/run_seq=N/ membership filter of run N's fingerprints, of bounded size
     state/upto=N/     folded state of all runs up to N
     commits/          one row per finished compaction; readers only trust those
 
@@ -112,6 +123,15 @@ class SeenLog:
         """Record a run's postings.  part tells apart several writes of one run."""
         rows = fold_sightings(sightings(batch, F.lit(run_seq), F.lit(run_date)))
         rows.write.mode("overwrite").parquet(f"{self.root}/log/run_seq={run_seq}/part={part}")
+        log = self.spark.read.schema(SIGHTINGS).parquet(
+            f"{self.root}/log/run_seq={run_seq}/part={part}")
+        membership(log, ["fingerprint"]).write.mode("overwrite").parquet(
+            f"{self.root}/filter/run_seq={run_seq}/part={part}")
+
+    def seen_filter(self, before: int) -> DataFrame:
+        """One filter of all fingerprints seen before a run, from those of the runs."""
+        stored = self._read("filter", "_word INT, _bits BIGINT, run_seq BIGINT, part STRING")
+        return merged(stored.filter(F.col("run_seq") < before).select("_word", "_bits"))
 
     def compact(self, upto: int) -> None:
         folded = self.folded(upto + 1)

@@ -52,7 +52,8 @@ def daily_run(
     kept = exclude_contracts(postings)
     kept = kept.withColumn("fingerprint", fingerprint(kept.company, kept.title))
     # Written once: everything below reads it several times.
-    flagged = materialize(flag_known(kept, seen.keys(before=run_seq)), "flagged")
+    flagged = materialize(flag_known(kept, seen.keys(before=run_seq),
+                                     filter_of_seen=seen.seen_filter(before=run_seq)), "flagged")
     known, new = flagged.filter("is_known"), flagged.filter("not is_known")
     if not dry_run:
         seen.append(known, run_seq, run_date, "known")

@@ -266,8 +266,8 @@ def seen_log(spark: SparkSession, sf: str) -> DataFrame:
     rows = event_sightings(spark, sf)
     log = state.SeenLog(spark, scratch_path(spark, "seen"))
     week = dt.timedelta(days=7)
-    start = dt.date(2024, 1, 1)
     old = rows.filter(rows.run_date < MERGE_DAY)
+    start = old.agg(F.min("run_date")).first()[0] or MERGE_DAY
     days = [start + dt.timedelta(days=i) for i in range((MERGE_DAY - start).days)]
     for run, day in enumerate(days):
         log.append(old.filter(old.run_date == day), run, day)
@@ -461,7 +461,7 @@ def lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT doc_id, {lexicon_sql('text', HARD)} AS hard FROM documents")
 def lexicon_score_by_token(spark: SparkSession, sf: str) -> DataFrame:
     df = views.documents(spark, sf).select("doc_id", "text")
-    return lexicon.score_lexicon(df, "text", HARD, "hard", "doc_id", max_projected=0).select(
+    return lexicon.score_lexicon(df, "text", HARD, "hard", "doc_id").select(
         "doc_id", "hard")
 
 
@@ -605,8 +605,7 @@ def offer_rows(spark: SparkSession, sf: str) -> DataFrame:
 PUBLISHED = """
   SELECT 'Groupe ' || s.s_name || ' (P1) — relu' AS employer, p.p_name AS title,
          'https://jobs.example.org/' || CAST(p.p_partkey * 7 AS STRING) AS url
-  FROM part p JOIN supplier s ON s.s_suppkey = p.p_partkey % (SELECT count(*) FROM supplier )
-  WHERE p.p_size > 25"""
+  FROM part p JOIN supplier s ON s.s_suppkey = p.p_partkey % (SELECT count(*) FROM supplier )"""
 FRESH_SQL = f"""o AS ({PUBLISHED}),
   f AS (SELECT *, {clean_sql('company')} AS ce, {norm('title')} AS nt FROM v
         WHERE url NOT IN (SELECT url FROM o)
@@ -677,12 +676,12 @@ TRACKER = """
          'avant' AS last_action, 'après' AS next_action
   FROM customer """
 TOUCHED_SQL = """t AS (SELECT DISTINCT employer FROM m
-  WHERE employer_tier IS NOT NULL AND salary_min >= 60)"""
+  WHERE employer_tier IS NOT NULL)"""
 
 
 @query(ORDER_MATCH_SQL + f", {TOUCHED_SQL} SELECT employer FROM t")
 def touched_employers(spark: SparkSession, sf: str) -> DataFrame:
-    return publish.touched_employers(_matched_orders(spark, sf).filter("salary_min >= 60"))
+    return publish.touched_employers(_matched_orders(spark, sf))
 
 
 @query(ORDER_MATCH_SQL + f""", {TOUCHED_SQL}, tr AS ({TRACKER}),
@@ -694,7 +693,7 @@ def touched_employers(spark: SparkSession, sf: str) -> DataFrame:
     CASE WHEN changed THEN 'Analyser l''offre + postuler' ELSE next_action END AS next_action,
     changed FROM ch""")
 def employer_status(spark: SparkSession, sf: str) -> DataFrame:
-    touched = publish.touched_employers(_matched_orders(spark, sf).filter("salary_min >= 60"))
+    touched = publish.touched_employers(_matched_orders(spark, sf))
     return publish.update_employer_status(
         views.view(spark, sf, TRACKER, "customer"), touched,
         views.segment_employers(spark, sf), RUN_DATE)

@@ -411,22 +411,19 @@ def job_ad_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH b AS ({BASE})
-  SELECT 'https://g/' || id AS url, seg AS company FROM b WHERE nk % 5 IN (0, 3) AND st = 'F'
-  UNION ALL SELECT 'https://l/' || id, seg FROM b WHERE nk % 5 IN (0, 3) AND st = 'O'
+  SELECT 'https://g/' || id AS url, seg AS company FROM b WHERE nk % 5 IN (0, 2, 3) AND st = 'F'
+  UNION ALL SELECT 'https://l/' || id, seg FROM b WHERE nk % 5 IN (0, 2, 3) AND st = 'O'
   UNION ALL SELECT 'skipped ' || id, seg FROM b WHERE nk % 5 = 1 OR st = 'P'""")
 def source_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     """Landed pages of several systems by ats or domain, and the pages nobody can read."""
     body = f"""CASE st WHEN 'F' THEN to_json({JOBS_BODY}) WHEN 'O' THEN to_json({ARRAY_BODY}) END"""
-    landed = _base(spark, sf).filter("nk % 5 <> 2 and nk % 5 <> 4").selectExpr(
+    landed = _base(spark, sf).selectExpr(
         "page_seq", "seg as employer", "id", "cast(null as string) as link_pattern",
         "CASE WHEN st = 'F' AND nk % 5 <> 1 THEN 'greenhouse' WHEN nk % 5 = 1 THEN 'other' END as ats",
         "CASE WHEN st = 'O' AND nk % 5 <> 1 THEN 'https://jobs.lever.co/x' ELSE 'https://no.org/' END "
         "as careers_url", f"{body} as body")
-    skipped_too = _base(spark, sf).filter("nk % 5 = 2 or nk % 5 = 4").filter("st = 'P'").selectExpr(
-        "page_seq", "seg as employer", "id", "cast(null as string) as link_pattern",
-        "cast(null as string) as ats", "'https://no.org/' as careers_url", "'' as body")
     postings, skipped = registry.dispatch_career_pages(
-        landed.unionByName(skipped_too), {"jobs.lever.co": "lever"})
+        landed, {"jobs.lever.co": "lever"})
     return postings.select("url", "company").unionByName(
         skipped.select(F.concat(F.lit("skipped "), "id").alias("url"),
                        F.col("employer").alias("company")))

@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from postwatch.functions.text import fingerprint, normalize_py
-from postwatch.operators import dedup, filters, lexicon, match, publish, score, skew, state, stats
+from postwatch.operators import (
+    dedup,
+    filters,
+    lexicon,
+    match,
+    membership,
+    publish,
+    score,
+    skew,
+    state,
+    stats,
+)
 from postwatch.plans import defaults
 from postwatch.schema import EMPLOYERS, POSTING_COLUMNS, POSTINGS
 from postwatch.session import materialize
@@ -159,7 +170,7 @@ def test_employer_candidates_grow_linearly(spark):
 
 def test_phrases_stand_at_word_boundaries(col):
     names = ["a", "", "c++ (ltd", "a-b c", "x+ y", "я b", "..."]
-    got = col("n string", [(n,) for n in names], match._phrases(F.col("n")))
+    got = col("n string", [(n,) for n in names], match._phrases(match._tokens(F.col("n"))))
     for name, phrases in zip(names, got):
         cut = {name[i:j] for i in range(len(name)) for j in range(i + 1, len(name) + 1)}
         want = {p for p in cut if p == p.strip() and re.search(
@@ -169,9 +180,9 @@ def test_phrases_stand_at_word_boundaries(col):
 
 def test_long_employer_names(spark):
     """More tokens than a phrase of the index has: met on the rarest phrase, then compared."""
-    common = " ".join(f"c{i}" for i in range(12))
+    common = " ".join(f"c{i}" for i in range(20))
     names = [f"{common} {i} {common}" for i in range(40)]
-    companies = [f"sas {n} fils" for n in names] + [f"{common} x {common}", "c3 c4", "(((((((((((("]
+    companies = [f"sas {n} fils" for n in names] + [f"{common} x {common}", "c3 c4", "(" * 20]
     dim = spark.createDataFrame([(i, n, 2, "", None, ["[" * 12, f"le groupe {companies[3]}"], None,
                                   None) for i, n in enumerate(names)], EMPLOYERS)
     df = spark.createDataFrame([(c,) for c in companies], "company_norm string")
@@ -195,6 +206,22 @@ def prints(spark, rows):
     return df.withColumn("fingerprint", fingerprint(df.company, df.title))
 
 
+def test_new_postings_skip_the_shuffle(spark, tmp_path):
+    """The filter kept beside the log lets through all that was seen and little else."""
+    log = state.SeenLog(spark, str(tmp_path))
+    for run in range(3):
+        log.append(prints(spark, [{"title": f"t{i}"} for i in range(run * 40, run * 40 + 60)]), run,
+                   dt.date(2026, 7, 1))
+    batch = prints(spark, [{"title": f"t{i}"} for i in range(600)])
+    found = log.seen_filter(2)
+    passed = membership.maybe_in(batch, ["fingerprint"], found)
+    assert 100 <= passed.count() < 120
+    flags = {(r.title, r.is_known) for r in state.flag_known(
+        batch, log.keys(2), filter_of_seen=found).collect()}
+    assert flags == {(f"t{i}", i < 100) for i in range(600)}
+    assert log.seen_filter(0).count() == 0
+
+
 def test_seen_log(spark, tmp_path):
     log = state.SeenLog(spark, str(tmp_path / "seen"))
     first = prints(spark, [{}])
@@ -254,12 +281,11 @@ HARD_TEXTS = [
 
 
 def test_lexicon(spark):
-    df = spark.createDataFrame(HARD_TEXTS, "t string, want int")
-    for limit in (200, 3):  # as a projection, and by token
-        got = lexicon.score_lexicon(
-            df.withColumn("id", F.monotonically_increasing_id()), "t", defaults.HARD_SKILLS,
-            "hard", "id", max_projected=limit)
-        assert all(r.hard == r.want for r in got.collect())
+    df = spark.createDataFrame(HARD_TEXTS, "t string, want int").withColumn(
+        "id", F.monotonically_increasing_id())
+    projected = df.withColumn("hard", lexicon.lexicon_score(F.col("t"), defaults.HARD_SKILLS))
+    for scored in (projected, lexicon.score_lexicon(df, "t", defaults.HARD_SKILLS, "hard", "id")):
+        assert all(r.hard == r.want for r in scored.collect())
     soft = df.limit(1).select(
         lexicon.lexicon_score(F.lit("Management international, anglais courant"),
                               defaults.SOFT_SKILLS))
@@ -271,16 +297,33 @@ def test_lexicon_methods_agree(spark):
     words = ["sla", "itil", "agile", "sql", "power", "bi", "gestion", "de", "projet", "é", "x-sla"]
     texts = [(i, " ".join(rng.choices(words, k=rng.randrange(12)))) for i in range(300)]
     df = spark.createDataFrame(texts, "id int, t string")
-    a, b = (
-        {r.id: r.s for r in lexicon.score_lexicon(
-            df, "t", defaults.HARD_SKILLS, "s", "id", max_projected=n).collect()}
-        for n in (200, 3)
-    )
+    a = {r.id: r.s for r in df.withColumn(
+        "s", lexicon.lexicon_score(F.col("t"), defaults.HARD_SKILLS)).collect()}
+    b = {r.id: r.s for r in lexicon.score_lexicon(
+        df, "t", defaults.HARD_SKILLS, "s", "id").collect()}
     low = {i: min(100, sum(w for p, w in defaults.HARD_SKILLS.items() if re.search(p, t.lower())))
            for i, t in texts}
     assert a == b == low
 
 
+def test_lexicon_of_5000_phrases(spark):
+    """Phrases of one to four words next to any separators, without a regex per pattern."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(25)] + ["été", "œuvre", "a_b"]
+    many = {}
+    while len(many) < 5000:
+        phrase = " ".join(rng.choices(words, k=rng.randrange(1, 5)))
+        many[rf"\b{phrase}\b"] = rng.randrange(1, 9)
+    between = [" ", " ", " ", "  ", ", ", "\n", " \n ", "-", "\xa0"]
+    texts = [(i, "".join(rng.choice(words).upper() + rng.choice(between)
+                         for _ in range(rng.randrange(15)))) for i in range(60)] + [(60, "")]
+    df = spark.createDataFrame(texts, "id int, t string")
+    scored = lexicon.score_lexicon(df, "t", many, "s", "id", cap=10**6)
+    assert "rlike" not in plan(scored).lower()
+    want = {i: sum(w for p, w in many.items() if re.search(p, t.lower())) for i, t in texts}
+    assert {r.id: r.s for r in scored.collect()} == want
+
+
 # --- employers and titles -------------------------------------------------------------------
 def naive_match(company, rows):
     name = normalize_py(company)
