@@ -14,6 +14,7 @@ from postwatch.operators.dedup import greedy_or_dedup
 from postwatch.operators.match import match_employer
 from postwatch.operators.score import rank_key
 from postwatch.operators.skew import dealt, salted_join
+from postwatch.operators.stats import status_counts
 from postwatch.plans import defaults
 from postwatch.session import materialize
 
@@ -58,6 +59,10 @@ def offer_rows(scored: DataFrame, run_date: dt.date) -> DataFrame:
     return scored.select(offer_columns(run_date))
 
 
+TRACKER_DDL = "row_id bigint, employer string, status string, last_action string, next_action string"
+SOURCES_DDL = "ord int, label string, n string, ok_label string, last_ok string"
+
+
 def pair_columns(company: Column, title: Column) -> dict[str, Column]:
     """Second publication key: cleaned employer and normalized title."""
     return {"_employer": clean_employer(company), "_title": normalize(title)}
@@ -119,6 +124,52 @@ class OfferTable:
         return self.read().filter(F.col("run_seq") == run_seq)
 
 
+class StatusTables:
+    """Status tables on a shared file system: a snapshot per run and table, overwritten on retry.
+
+    A run's snapshots count once its commit is written, after all of them; until then, readers see
+    those of the last committed run, so a run that fails between two writes changes nothing."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def last_run(self, before: int = 1 << 62) -> int | None:
+        try:
+            commits = self.spark.read.schema("run_seq bigint").parquet(f"{self.root}/commits")
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return None
+        return commits.filter(F.col("run_seq") < before).agg(F.max("run_seq")).first()[0]
+
+    def read(self, name: str, ddl: str, before: int = 1 << 62) -> DataFrame:
+        """The table as the last committed run before `before` left it; empty if none did."""
+        run = self.last_run(before)
+        if run is None:
+            return self.spark.createDataFrame([], ddl)
+        return self.spark.read.schema(ddl).parquet(f"{self.root}/{name}/run_seq={run}")
+
+    def write(self, name: str, df: DataFrame, run_seq: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/run_seq={run_seq}")
+
+    def commit(self, run_seq: int) -> None:
+        self.spark.range(1).select(F.lit(run_seq).cast("long").alias("run_seq")).write.mode(
+            "overwrite").parquet(f"{self.root}/commits/of={run_seq}")
+
+    def update(self, retained: DataFrame, employers: DataFrame, stats: DataFrame, run_seq: int,
+               run_date: dt.date) -> None:
+        """Write the three tables of a run from those of the run before: employers with their
+        status, the counts of statuses, and the state of the sources."""
+        tracker = self.read("employers", TRACKER_DDL, run_seq)
+        updated = update_employer_status(tracker, touched_employers(retained), employers, run_date)
+        self.write("employers", updated.drop("changed"), run_seq)
+        written = self.spark.read.schema(TRACKER_DDL).parquet(
+            f"{self.root}/employers/run_seq={run_seq}")
+        self.write("counts", status_counts(written), run_seq)
+        self.write("sources", source_status(
+            self.read("sources", SOURCES_DDL, run_seq), stats, run_date), run_seq)
+
+
 def touched_employers(retained: DataFrame) -> DataFrame:
     """Names of the listed employers with a retained posting."""
     return retained.filter("employer_tier is not null").select("employer").distinct()

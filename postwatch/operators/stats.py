@@ -93,8 +93,9 @@ def sample_head(df: DataFrame, n: int = 3, chars: int = 150) -> DataFrame:
     return df.withColumn("description", cut).orderBy("ingest_seq").limit(n)
 
 
-def daily_report(totals: DataFrame, retained: DataFrame, k: int = 3) -> DataFrame:
-    """The funnel row with the best k postings as lines and the number of others."""
+def daily_report(totals: DataFrame, retained: DataFrame, k: int = 3,
+                 alerts: list[str] = ()) -> DataFrame:
+    """The funnel row with the best k postings as lines, the number of others and the alerts."""
     line = F.format_string(
         "[%5.1f] %s — %s (%s) | hard %.0f · titre %.0f · soft %.0f · loc %.0f · tier %.0f → %s | %s",
         "score", "title", "company",
@@ -110,4 +111,4 @@ def daily_report(totals: DataFrame, retained: DataFrame, k: int = 3) -> DataFram
     )
     return merge_rows(totals, best).withColumn(
         "others", F.greatest(F.lit(0), F.col("retained") - k)
-    )
+    ).withColumn("alerts", F.array(*map(F.lit, alerts)).cast("array<string>"))

@@ -779,14 +779,15 @@ def funnel(spark: SparkSession, sf: str) -> DataFrame:
     FROM kept ORDER BY score DESC, ingest_seq LIMIT 3)
   SELECT (SELECT count(*) FROM scored) AS collected, (SELECT count(*) FROM kept) AS retained,
     (SELECT string_agg(line, chr(10) ORDER BY score DESC, ingest_seq) FROM l) AS top,
-    greatest(0, (SELECT count(*) FROM kept) - 3) AS others""")
+    greatest(0, (SELECT count(*) FROM kept) - 3) AS others,
+    'apec : collecte échouée — délai' AS alerts""")
 def daily_report(spark: SparkSession, sf: str) -> DataFrame:
     retained = _retained(spark, sf)
     totals = stats.merge_rows(
         stats.count_rows(doc_postings(spark, sf), "collected"),
         stats.count_rows(retained, "retained"))
-    report = stats.daily_report(totals, retained)
-    return report.withColumn("top", F.array_join("top", "\n"))
+    report = stats.daily_report(totals, retained, alerts=["apec : collecte échouée — délai"])
+    return report.withColumns({c: F.array_join(c, "\n") for c in ("top", "alerts")})
 
 
 @query(f"""WITH v AS ({views.DOC_POSTINGS})
@@ -893,7 +894,7 @@ def daily_runs(spark: SparkSession, sf: str) -> DataFrame:
         result = daily_run(
             batch, views.supplier_employers(spark, sf), seen, offers, run, RUN_DATE,
             targets=TARGETS, min_score=MIN_SCORE, min_score_tier1=MIN_TIER1, hard=HARD, soft=SOFT)
-    return result.report.withColumn("top", F.array_join("top", "\n"))
+    return result.report.withColumns({c: F.array_join(c, "\n") for c in ("top", "alerts")})
 
 
 @query()

@@ -93,6 +93,51 @@ def test_failed_publication_loses_nothing(spark, tmp_path):
     assert daily_run(*args, offers, 3, DAY, min_score=0).report.first().already_seen == 1
 
 
+def test_status_tables_and_alerts(spark, tmp_path):
+    """Tables of a run count once it is committed; failures are alerts and change nothing."""
+    log = state.SeenLog(spark, str(tmp_path / "seen"))
+    offers = publish.OfferTable(spark, str(tmp_path / "offers"))
+    tables = publish.StatusTables(spark, str(tmp_path / "status"))
+    employers = spark.createDataFrame(EMPLOYER_ROWS, EMPLOYERS)
+    tracker = [(1, "Manitou (P1)", "", "a", "b"), (2, "Gan", "Entretien", "a", "b")]
+    tables.write("employers", spark.createDataFrame(tracker, publish.TRACKER_DDL), 0)
+    tables.write("sources", spark.createDataFrame([], publish.SOURCES_DDL), 0)
+    tables.commit(0)
+    batch = spark.createDataFrame([posting(1, company="Manitou"), posting(2, company="Gan")], POSTINGS)
+
+    def read():
+        rows = tables.read("employers", publish.TRACKER_DDL).collect()
+        return {r.row_id: r.status for r in rows}, tables.last_run()
+
+    for broken in ("write", "update", "commit"):
+        class Broken(publish.StatusTables):
+            pass
+
+        def fail(*_):
+            raise OSError("down")
+
+        setattr(Broken, broken, fail)
+        args = (batch, employers, log, offers, 1, DAY)
+        try:
+            result = daily_run(*args, min_score=0, min_score_tier1=0, publication_may_fail=True,
+                               status=Broken(spark, tables.root), errored={"apec": "délai"})
+            alerts = result.report.first().alerts
+            assert alerts[0] == "apec : collecte échouée — délai" and "down" in alerts[1]
+            assert log.read().count() == 0
+        except OSError:
+            assert broken == "commit"
+        assert read() == ({1: "", 2: "Entretien"}, 0)
+    result = daily_run(batch, employers, log, offers, 1, DAY, status=tables, min_score=0,
+                       min_score_tier1=0)
+    assert result.report.first().alerts == []
+    assert read() == ({1: "Offre repérée", 2: "Entretien"}, 1)
+    counts = spark.read.parquet(f"{tables.root}/counts/run_seq=1")
+    assert {r.label: r.n for r in counts.collect() if r.n} == {
+        "Offre repérée": 1, "Entretien": 1, "Total cibles": 2}
+    sources = {r.label: r.ok_label for r in tables.read("sources", publish.SOURCES_DDL).collect()}
+    assert len(sources) == 4
+
+
 def test_stream_equals_batches(spark, tmp_path):
     employers = spark.createDataFrame(EMPLOYER_ROWS, EMPLOYERS)
     landing = str(tmp_path / "landing")
