@@ -132,6 +132,19 @@ TRACKER_STATUSES = [
     "À cibler", "Offre repérée", "Candidature envoyée", "En cours",
     "Entretien", "Relance", "Stand-by", "Refus",
 ]
+# Hosts of career pages and the mapper that reads them; the text that marks a card,
+# and its place.
+CAREER_DOMAINS = {
+    "careers.manitou-group.com": "blocks",
+    "recrutement.arkea.com": "cegid",
+    "docaposte-recrute.profils.org": "cegid",
+    "careers.smartrecruiters.com": "smartrecruiters",
+    "careers.akeneo.com": "teamtailor",
+    "job-boards.eu.greenhouse.io": "greenhouse",
+    "www.inetum.com": "cards",
+}
+CARD_MARKER = "france - nantes"
+CARD_PLACE = "Nantes, France"
 NAV_LABELS = [
     "lire la suite", "en savoir plus", "read more", "voir l'offre", "postuler", "candidater",
 ]

@@ -23,10 +23,16 @@ NO_MAPPER = "none"
 Mapper = Callable[[DataFrame], DataFrame]
 
 
+def _flat(df: DataFrame) -> DataFrame:
+    return pages.flat_pages(df.withColumnsRenamed({"careers_url": "url", "body": "html"}))
+
+
 def _listing(options: pages.Listing) -> Mapper:
-    return lambda df: pages.harvest_links(
-        pages.flat_pages(df.withColumnsRenamed({"careers_url": "url", "body": "html"})), options
-    )
+    return lambda df: pages.harvest_links(_flat(df), options)
+
+
+def _cards(marker: str, place: str) -> Mapper:
+    return lambda df: pages.harvest_containers(_flat(df), marker, place)
 
 
 def _json(mapper: Mapper) -> Mapper:
@@ -40,6 +46,8 @@ BY_ATS: dict[str, Mapper] = {
     "lever": _json(payloads.map_ats_lever),
     "cegid": _listing(pages.TILES),
     "ssr": _listing(pages.GENERIC),
+    "blocks": _listing(pages.BLOCKS),
+    "cards": _cards(defaults.CARD_MARKER, defaults.CARD_PLACE),
 }
 
 
@@ -56,11 +64,13 @@ def dispatch_key(ats: Column, careers_url: Column, by_domain: dict[str, str],
 def dispatch_career_pages(landed: DataFrame, by_domain: dict[str, str] | None = None,
                           mappers: dict[str, Mapper] = BY_ATS) -> tuple[DataFrame, DataFrame]:
     """(postings, skipped pages) of landed career pages: page_seq, employer, careers_url, ats,
-    link_pattern, body.  A url found through several employers stays with the first.
+    link_pattern, body.  A url found through several employers stays with the first.  by_domain:
+    mapper by host where the ats is not known; the usual hosts unless given.
 
     Writes the pages once, in a folder per mapper, so that each mapper reads its own pages only
     instead of every mapper reading all of them.  Runs one job."""
-    key = dispatch_key(landed.ats, landed.careers_url, by_domain or {}, list(mappers))
+    domains = defaults.CAREER_DOMAINS if by_domain is None else by_domain
+    key = dispatch_key(landed.ats, landed.careers_url, domains, list(mappers))
     keyed = landed.withColumn("_mapper", F.coalesce(key, F.lit(NO_MAPPER)))
     path = scratch_path(landed.sparkSession, "bronze")
     keyed.write.partitionBy("_mapper").parquet(path)

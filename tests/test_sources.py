@@ -291,6 +291,28 @@ def test_dispatch(spark):
     assert by_company["D"] == {"https://tiles.org/emploi-1.aspx"}
 
 
+def test_dispatch_by_usual_domains(spark):
+    """Pages without a known ats are read by their host, block and card listings included."""
+    link = '<a href="/{}">{} Nantes</a>'
+    card = f'<div>{link.format("c1", "Data Engineer")} France - Nantes open-ended</div>'
+    landed = spark.createDataFrame(
+        [(1, "C", "https://www.inetum.com/jobs", None, None, f"<body>{card}</body>"),
+         (2, "T", "https://recrutement.arkea.com/l", None, None,
+          '<li><a href="emploi-1.aspx">PMO</a></li>'),
+         (3, "G", "https://job-boards.eu.greenhouse.io/x", "?", None, json.dumps({"jobs": [
+             {"id": "1", "title": "PMO", "absolute_url": "https://g/1",
+              "location": {"name": "Nantes"}}]})),
+         (4, "N", "https://unknown.org/", None, None, "x")],
+        "page_seq long, employer string, careers_url string, ats string, link_pattern string, "
+        "body string")
+    postings, skipped = registry.dispatch_career_pages(landed)
+    assert [r.employer for r in skipped.collect()] == ["N"]
+    got = {r.company: (r.url, r.location, r.contract_type) for r in postings.collect()}
+    assert got["C"] == ("https://www.inetum.com/c1", "Nantes, France", "CDI")
+    assert got["T"][0] == "https://recrutement.arkea.com/emploi-1.aspx"
+    assert got["G"][:2] == ("https://g/1", "Nantes")
+
+
 def test_union_sources(spark):
     one = spark.createDataFrame([("a", 5)], "source string, ingest_seq long")
     bad = spark.createDataFrame([("x", 1)], "source string, ingest_seq long").select(
