@@ -218,3 +218,19 @@ def test_stream_forgets_after_the_ttl(spark, tmp_path):
         stream = spark.readStream.schema(state.SIGHTINGS).parquet(landing)
         seen.stream_seen_state(stream, out, check, dt.timedelta(seconds=1)).awaitTermination()
     assert {r.is_known for r in seen.read_flags(spark, out).collect()} == {False}
+
+
+def test_seen_stream_code_unpickles_without_the_package(tmp_path):
+    """The state operator's Python worker need not have this package on its path."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    blob = cloudpickle.dumps((seen.SeenProcessor(), seen.fold_locally, seen.merge))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", "import pickle, sys; pickle.loads(sys.stdin.buffer.read())"],
+        input=blob, cwd=tmp_path, env=env, capture_output=True)
+    assert done.returncode == 0, done.stderr.decode()[-500:]
