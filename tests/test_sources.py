@@ -376,3 +376,11 @@ def test_blocks_of_many_links_stay_linear(spark):
     rows_ = pages.page_links(df).count()
     assert rows_ == 800
     assert pages.page_links(df, "contains(n.href[i], '/e/7')").count() == 111
+
+
+def test_texts_decode_only_the_four_entities_with_semicolons():
+    """As the page-text SQL: &quot; &copy; &middot; &amp; in that order; "&amp" or "&lt;" stays."""
+    from postwatch.sources.html import flatten
+
+    *_, texts = flatten("<article><p>a&amp b&amp;c &lt;d&gt; &amp;quot; &copy;&middot;</p></article>")
+    assert texts[-1] == 'a&amp b&c &lt;d&gt; &quot; ©·'
