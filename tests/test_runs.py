@@ -234,3 +234,19 @@ def test_seen_stream_code_unpickles_without_the_package(tmp_path):
         [sys.executable, "-c", "import pickle, sys; pickle.loads(sys.stdin.buffer.read())"],
         input=blob, cwd=tmp_path, env=env, capture_output=True)
     assert done.returncode == 0, done.stderr.decode()[-500:]
+
+
+def test_seen_stream_runs_on_a_session_with_the_default_state_store(spark, tmp_path):
+    """transformWithState needs RocksDB: the stream takes it whatever store the session names."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.unset(provider)
+    try:
+        landing, out, check = (str(tmp_path / name) for name in ("in", "out", "cp"))
+        sightings_of(spark, [("f", 0, 0, DAY), ("f", 1, 1, DAY)]).write.parquet(landing)
+        stream = spark.readStream.schema(state.SIGHTINGS).parquet(landing)
+        seen.stream_seen_state(stream, out, check).awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    assert sorted((r.ingest_seq, r.is_known) for r in seen.read_flags(spark, out).collect()) == [
+        (0, False), (1, True)]
